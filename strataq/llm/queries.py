@@ -5,10 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataq.llm import line_dedup, mixing, sharding
+from strataq.llm import line_dedup, mixing, quality, sharding, toxicity
 from strataq.llm.common import table
 
 
+def _scored(spark: SparkSession, sf_dir: str, kind, label: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = kind.train(docs, table(spark, sf_dir, "labels"), label=label)
+    out = quality.score(docs, model).withColumn("held_out", quality.held_out())
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= kind.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, toxicity, "toxic")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, quality, "quality")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = line_dedup.apply_bitmaps(docs, line_dedup.line_keep_bitmaps(docs))
@@ -26,7 +41,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_line_dedup, op6_mixing, op9_sharding)}
+    return {f.__name__: f for f in (op2_toxicity, op4_quality, op5_line_dedup, op6_mixing, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
