@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataq.llm import line_dedup, mixing, quality, sharding, toxicity
+from strataq.llm import hamming_search, line_dedup, mixing, quality, sharding, toxicity
 from strataq.llm.common import table
 
 
@@ -40,9 +40,15 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(docs).select("doc_id", "shard", "depth", "shard_bytes")
 
 
+def op10_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    asked = vectors.where(F.col("vec_id") % hamming_search.QUERY_EVERY == 0)
+    return hamming_search.top_k(vectors, asked)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_toxicity, op4_quality, op5_line_dedup, op6_mixing, op9_sharding)}
+    return {f.__name__: f for f in (op2_toxicity, op4_quality, op5_line_dedup, op6_mixing, op9_sharding, op10_hamming_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": line_dedup.oracle_sql(), "op6_mixing": mixing.oracle_sql(), "op9_sharding": sharding.oracle_sql()}
+    return {"op5_line_dedup": line_dedup.oracle_sql(), "op6_mixing": mixing.oracle_sql(), "op9_sharding": sharding.oracle_sql(), "op10_hamming_search": hamming_search.oracle_sql()}
