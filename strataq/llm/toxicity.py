@@ -6,14 +6,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from strataq.llm.quality import training_rows
-from strataq.llm.tokens import FOLDED, Words, run_hashes
+from strataq.llm.tokens import FOLDED, Words, chunks, run_hashes
 
 #: At most about so many labelled rows are fitted on, those of least hash; so the driver's share is bounded.
-TRAIN_ROWS = 6_000
+TRAIN_ROWS = 4_000
 LANDMARKS = 256
+#: Training texts are read in pieces of about so many bytes.
+FIT_BYTES = 1 << 20
 THRESHOLD = 0.7
 #: Two neighbours of a subsequence lie at most so far apart, so an inserted character between any two leaves it whole.
 REACH = 2
@@ -158,8 +161,8 @@ class Model:
         total, norm = sums(*layout(data, starts, ends), self.table)
         return total / norm + self.bias
 
-    def logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """From the largest margin of each text's segments and how many are on the toxic side."""
+    def bags(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The largest margin of each text's segments, and the logarithm of 1 and how many are on the toxic side."""
         starts, ends, first = segments(data, offsets)
         best, many = np.full(len(offsets) - 1, -3.0), np.zeros(len(offsets) - 1)
         if len(starts):
@@ -169,8 +172,10 @@ class Model:
             full = np.flatnonzero(np.diff(first))
             best[full] = np.maximum(np.maximum.reduceat(m, first[full]), -3.0)
             many[full] = np.add.reduceat((m > 0).astype(float), first[full])
-        a, b, c = self.slope
-        return a + b * best + c * np.log1p(many)
+        return np.stack([best, np.log1p(many)], 1)
+
+    def logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        return self.slope[0] + self.bags(data, offsets) @ np.array(self.slope[1:])
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 60) -> np.ndarray:
@@ -222,6 +227,25 @@ def _disguised(word: bytes, rng: np.random.Generator) -> list[bytes]:
     return [mark.join(word[i : i + 1] for i in range(len(word))), word[:k] + mark + word[k:], word[:k] + letter + word[k:]]
 
 
+def _vocabulary(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of the different segments, their starts, their ends), and pairs (segment, text), each once."""
+    hashes, kept, pairs = [], [], []
+    for i, j, data, offsets in chunks(pa.array(texts), FIT_BYTES):
+        starts, ends, first = segments(data, offsets)
+        h, one, back = np.unique(run_hashes(FOLDED[data], starts, ends), return_index=True, return_inverse=True)
+        both = np.unique(back * (j - i) + np.repeat(np.arange(j - i), np.diff(first)))
+        pairs.append((h[both // (j - i)], both % (j - i) + i))
+        size = (ends - starts)[one]
+        at = np.concatenate([[0], np.cumsum(size)])
+        kept.append((data[np.arange(at[-1]) + np.repeat(starts[one] - at[:-1], size)], size))
+        hashes.append(h)
+    h, one = np.unique(np.concatenate(hashes), return_index=True)
+    ends = np.cumsum(np.concatenate([k[1] for k in kept]))
+    starts = ends - np.concatenate([k[1] for k in kept])
+    seg = np.searchsorted(h, np.concatenate([p[0] for p in pairs]))
+    return np.concatenate([k[0] for k in kept]), starts[one], ends[one], seg, np.concatenate([p[1] for p in pairs])
+
+
 def fit(texts: list[str], labels: list[int], *, landmarks: int = LANDMARKS, negatives: int = 8_000, rounds: int = 3) -> Model:
     """Labels mark texts, not segments: segments that mark toxic texts start as examples; each round, the segments of
     toxic texts with the largest margins join them, and the clean segments with the largest margins are counterexamples.
@@ -233,17 +257,8 @@ def fit(texts: list[str], labels: list[int], *, landmarks: int = LANDMARKS, nega
     ones = y.mean() if len(y) else 0.5
     if not 0 < ones < 1:
         return Model(np.zeros(SPACE, np.float32), -1.0, (float(np.log((ones + 0.01) / (1.01 - ones))), 0.0, 0.0))
-    raw = [t.encode() for t in texts]
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    offsets = np.concatenate([[0], np.cumsum([len(t) for t in raw])]).astype(np.int64)
-    starts, ends, first = segments(data, offsets)
-    doc = np.repeat(np.arange(len(y)), np.diff(first))
-    h = run_hashes(FOLDED[data], starts, ends)
-    _, one, seg = np.unique(h, return_index=True, return_inverse=True)
-    pair = np.unique(seg * len(y) + doc)
-    seg, doc = pair // len(y), pair % len(y)
-    starts, ends = starts[one], ends[one]
-    n = len(one)
+    data, starts, ends, seg, doc = _vocabulary(texts)
+    n = len(starts)
     df1, df0 = np.bincount(seg, y[doc], n), np.bincount(seg, 1 - y[doc], n)
     n1, n0 = y.sum(), (1 - y).sum()
     p1, p0 = (df1 + 0.1) / (n1 + 1), (df0 + 0.1) / (n0 + 1)
@@ -280,17 +295,17 @@ def fit(texts: list[str], labels: list[int], *, landmarks: int = LANDMARKS, nega
         model.table, model.bias = np.zeros(SPACE, np.float32), float(w[-1])
         model.table[ids] = ((root @ w[:-1]) @ tables)[1:]
         if turn + 1 < rounds:
-            m = model.margins(data, starts[:n], ends[:n])
+            m = np.concatenate([model.margins(data, starts[i : i + 20_000], ends[i : i + 20_000]) for i in range(0, n, 20_000)])[:n]
             near = np.union1d(near, clean[np.argsort(-m[clean])[:1_500]])
             order = np.lexsort((-m[seg], doc))
             top = order[np.flatnonzero(np.diff(np.concatenate([[-1], doc[order]])))]
             top = top[(y[doc[top]] == 1) & toxic[seg[top]] & (m[seg[top]] > -0.5)]
             positive = np.concatenate([positive, np.setdiff1d(np.unique(seg[top]), positive)])[:4_000]
     model.slope = (0.0, 1.0, 0.0)
-    data = data[: offsets[-1]]
-    best = model.logits(data, offsets)
-    model.slope = (0.0, 0.0, 1.0)
-    model.slope = _platt(np.stack([best, model.logits(data, offsets)], 1), y)
+    bags = np.zeros((len(y), 2))
+    for i, j, part, offsets in chunks(pa.array(texts), FIT_BYTES):
+        bags[i:j] = model.bags(part, offsets)
+    model.slope = _platt(bags, y)
     return model
 
 
