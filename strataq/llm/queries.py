@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataq.llm import hamming_search, line_dedup, mixing, quality, sharding, toxicity
+from strataq.llm import decontamination, hamming_search, line_dedup, mixing, quality, sharding, toxicity
 from strataq.llm.common import table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    hit = decontamination.covered(F.col("spans")).cast("long")
+    out = found.select(F.col("id").alias("doc_id"), F.col("n_words").cast("long"), hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    return out.withColumn("contaminated", F.col("n_hit") > 0)
+
+
 def _scored(spark: SparkSession, sf_dir: str, kind, label: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = kind.train(docs, table(spark, sf_dir, "labels"), label=label)
@@ -47,8 +55,8 @@ def op10_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_toxicity, op4_quality, op5_line_dedup, op6_mixing, op9_sharding, op10_hamming_search)}
+    return {f.__name__: f for f in (op1_decontamination, op2_toxicity, op4_quality, op5_line_dedup, op6_mixing, op9_sharding, op10_hamming_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": line_dedup.oracle_sql(), "op6_mixing": mixing.oracle_sql(), "op9_sharding": sharding.oracle_sql(), "op10_hamming_search": hamming_search.oracle_sql()}
+    return {"op1_decontamination": decontamination.oracle_sql(), "op5_line_dedup": line_dedup.oracle_sql(), "op6_mixing": mixing.oracle_sql(), "op9_sharding": sharding.oracle_sql(), "op10_hamming_search": hamming_search.oracle_sql()}
