@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataq.llm.common import drop_tables, durable
+from strataq.llm.common import BROADCAST_ROWS, drop_tables, durable
 
 TOP_K = 10
 QUERY_EVERY = 50
@@ -66,6 +66,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, *, id_col: str
     few = coded(vectors).distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
     codes = durable(few.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")), made)
     index = codes.select("code", "ids", F.posexplode("code").alias("part", "value"))
+    # probes are many more than the rows they come from, so they are never the side to broadcast
+    few = codes.limit(BROADCAST_ROWS // parts + 1).count() <= BROADCAST_ROWS // parts
+    index = F.broadcast(index) if few else index.hint("merge")
 
     none = F.array().cast("array<struct<d:int,id:bigint>>")
     active = durable(coded(queries).distinct().select(F.col("id").alias("q"), F.col("code").alias("asked"), none.alias("best"), F.lit(bits).alias("limit")), made)
