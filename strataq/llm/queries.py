@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataq.llm import decontamination, hamming_search, line_dedup, mixing, quality, sharding, toxicity
+from strataq.llm import decontamination, hamming_search, line_dedup, mixing, quality, secrets, sharding, toxicity
 from strataq.llm.common import table
 
 
@@ -43,6 +43,13 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).select("doc_id", "source", "text", "copy_no")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{secrets.KINDS[k]}")
+    digest = F.sha2(secrets.span_text(F.col("base")), 256).alias("base_sha256")
+    return found.select(F.col("id").alias("doc_id"), n(0), n(1), n(2), digest, secrets.span_text(F.array_sort(F.concat("base", "added"))).alias("spans"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.shard_documents(docs).select("doc_id", "shard", "depth", "shard_bytes")
@@ -55,7 +62,7 @@ def op10_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_toxicity, op4_quality, op5_line_dedup, op6_mixing, op9_sharding, op10_hamming_search)}
+    return {f.__name__: f for f in (op1_decontamination, op2_toxicity, op4_quality, op5_line_dedup, op6_mixing, op8_secrets, op9_sharding, op10_hamming_search)}
 
 
 def oracle_sql() -> dict[str, str]:
