@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataq.llm import decontamination, hamming_search, line_dedup, mixing, quality, secrets, sharding, toxicity
+from strataq.llm import decontamination, hamming_search, line_dedup, mixing, near_dedup, quality, secrets, sharding, toxicity
 from strataq.llm.common import table
 
 
@@ -17,6 +17,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("contaminated", F.col("n_hit") > 0)
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def _scored(spark: SparkSession, sf_dir: str, kind, label: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = kind.train(docs, table(spark, sf_dir, "labels"), label=label)
@@ -62,7 +67,7 @@ def op10_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_toxicity, op4_quality, op5_line_dedup, op6_mixing, op8_secrets, op9_sharding, op10_hamming_search)}
+    return {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_near_dedup, op4_quality, op5_line_dedup, op6_mixing, op8_secrets, op9_sharding, op10_hamming_search)}
 
 
 def oracle_sql() -> dict[str, str]:
