@@ -60,7 +60,7 @@ def find_contamination(
     occurrence needs all words of the window in order, so it holds each of the window's shingles. The shingles are
     ordered by how often they occur in all documents; each window is indexed by its rarest, and every run of words of
     every document looks that index up. Where it is met, the window must start and end within the document, and then
-    all its words are compared. Windows that share a rarest shingle and items are one entry of the index.
+    all its words are compared.
 
     The index is broadcast if it was counted and is small; else runs of words (hash, document and position only) are
     shuffled by hash, and only documents with a candidate are read again to compare words.
@@ -86,26 +86,25 @@ def find_contamination(
         # a shingle that no document has makes its window impossible; nothing needs to be looked up for it
         ranked = grams.join(durable(counts), "h", "left").fillna(0, ["often"])
         rarest = ranked.groupBy("wid", "window", "items", "len").agg(F.min(F.struct("often", "h", "off")).alias("r")).where("r.often > 0")
-        entry = F.struct(F.col("r.off").alias("off"), "len", F.array_join("window", " ").alias("text"))
-        index = durable(rarest.groupBy(F.col("r.h").alias("h"), "items").agg(F.collect_list(entry).alias("wins")))
+        text = F.array_join("window", " ").alias("text")
+        index = durable(rarest.select(F.col("r.h").alias("h"), F.col("r.off").alias("off"), F.col("len").cast("int"), text, "items"))
         if is_small:
             met = runs.join(F.broadcast(index), "h")
         else:
             met = runs.drop("words").join(index, "h").withColumnsRenamed({"id": "i", "fp": "f"})
             met = met.join(given, F.col("i").eqNullSafe(F.col("id")) & (F.col("f") == F.col("fp")))
-        start = lambda w: F.col("p") - w["off"]
-        fits = lambda w: (start(w) >= 0) & (start(w) + w["len"] <= F.size("words"))
-        same = lambda w: F.array_join(F.slice("words", start(w) + 1, w["len"]), " ") == w["text"]
-        held = F.filter("wins", lambda w: F.when(fits(w), same(w)).otherwise(False))
-        span = F.transform("held", lambda w: F.struct(start(w).alias("start"), (start(w) + w["len"]).alias("end")))
-        parts.append(met.withColumn("held", held).where(F.size("held") > 0).select("id", "fp", span.alias("spans"), "items"))
+        # all of this becomes the join's condition, so no row that holds a whole text's words leaves the join
+        start = F.col("p") - F.col("off")
+        fits = (start >= 0) & (start + F.col("len") <= F.size("words"))
+        met = met.where(fits & (F.array_join(F.slice("words", F.greatest(start + 1, F.lit(1)), F.col("len")), " ") == F.col("text")))
+        parts.append(met.select("id", "fp", F.struct(start.alias("start"), (start + F.col("len")).alias("end")).alias("span"), "items"))
     rows = heads
     for part in parts:
         rows = rows.unionByName(part, allowMissingColumns=True)
     if not parts:
-        rows = rows.withColumns({"spans": F.lit(None).cast("array<struct<start:int,end:int>>"), "items": F.lit(None).cast("array<string>")})
-    lists = {c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in ("spans", "items")}
-    return rows.groupBy("id", "fp").agg(F.max("n_words").alias("n_words"), *lists.values())
+        rows = rows.withColumns({"span": F.lit(None).cast("struct<start:int,end:int>"), "items": F.lit(None).cast("array<string>")})
+    spans, whose = F.array_sort(F.collect_set("span")), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items"))))
+    return rows.groupBy("id", "fp").agg(F.max("n_words").alias("n_words"), spans.alias("spans"), whose.alias("items"))
 
 
 def covered(spans: Column) -> Column:
