@@ -40,8 +40,8 @@ def masks(width: int, radius: int) -> list[int]:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, distance): for each row of queries, the k rows of vectors whose sign codes are nearest.
 
-    Ties go to the smaller id, so the answer is unique. Codes are cut into segments of about log2(codes) bits, each
-    indexed by its value. Rounds r = 0, 1, ... look up, in each segment, the values at r bits from the query's; each
+    Ties go to the smaller id, so the answer is unique. Codes are cut into segments of about log2(rows) - 3 bits, each
+    indexed by its value; a value then has some eight codes, and looking at them costs about as much as the lookup. Rounds r = 0, 1, ... look up, in each segment, the values at r bits from the query's; each
     candidate's whole distance is then taken. After round r every code within segments * (r + 1) - 1 bits has been
     met, as one of its segments is within r; a query whose kth distance is no more than that is done and leaves.
 
@@ -58,7 +58,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, *, id_col: str
     size = pick(vectors).agg(F.max(F.size("v")).alias("bits"), F.count("*").alias("n")).first()
     asked = pick(queries).agg(F.max(F.size("v"))).first()[0] or 0
     bits = max(size["bits"] or 1, asked, 1)
-    width = min(bits, 24, max(4, round(math.log2(max(size["n"], 2)))))
+    width = min(bits, 24, max(4, round(math.log2(max(size["n"], 2))) - 3))
     parts = -(-bits // width)
     coded = lambda df: pick(df).select("id", sign_segments(F.col("v"), bits, width).alias("code"))
 
