@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataq.llm import decontamination, hamming_search, line_dedup, mixing, near_dedup, quality, secrets, sharding, toxicity
+from strataq.llm import decontamination, hamming_search, line_dedup, mixing, near_dedup, quality, secrets, sharding, substring_dedup, toxicity
 from strataq.llm.common import table
 
 
@@ -48,6 +48,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).select("doc_id", "source", "text", "copy_no")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{secrets.KINDS[k]}")
@@ -67,7 +72,7 @@ def op10_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_near_dedup, op4_quality, op5_line_dedup, op6_mixing, op8_secrets, op9_sharding, op10_hamming_search)}
+    return {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_near_dedup, op4_quality, op5_line_dedup, op6_mixing, op7_substring_dedup, op8_secrets, op9_sharding, op10_hamming_search)}
 
 
 def oracle_sql() -> dict[str, str]:
