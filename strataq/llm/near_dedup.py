@@ -99,6 +99,38 @@ def _linked(pairs: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
     return durable(both.where(shared * DEN >= union * NUM).select("a", "b").distinct())
 
 
+def _crossing(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """All pairs (a, b) of nodes (node, root) of different roots whose sets could be similar enough.
+
+    A prefix-filtered join: shingles are ordered by how many of the nodes have them; of two similar sets, the first
+    common shingle is among the first few of both, and as much of either must follow it as the overlap still needs.
+    """
+    nodes = durable(nodes)
+    own = sets.join(nodes, "node")
+    tokens = durable(own.select("node", F.explode("shingles").alias("h")))
+    often = durable(tokens.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"))
+    ranked = tokens.join(often, "h", "left").groupBy("node").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "h"))).alias("all"))
+    n = F.size("all")
+    up = lambda x, by: F.floor((x + (by - 1)) / by).cast("int")
+    first = F.posexplode(F.slice("all", 1, n - up(n * NUM, DEN) + 1)).alias("pos", "t")
+    heads = ranked.select("node", n.alias("n"), first).where("t.c > 1").select("node", "n", "pos", F.col("t.h").alias("h"))
+    heads = durable(heads.join(nodes, "node"))
+    per = heads.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("roots"))
+    mixed = durable(per.where("roots > 1").select("h", F.col("top.root").alias("top")))
+    heads = durable(heads.join(mixed, "h"))
+    short = F.col("pos") <= F.col("n") - up(F.col("n") * 2 * NUM, NUM + DEN)
+    side = lambda df, e: df.select("h", *[F.col(c).alias(f"{c}_{e}") for c in ("node", "root", "n", "pos")])
+    larger = F.col("n_y") < F.col("n_x")
+    later = larger | ((F.col("n_y") == F.col("n_x")) & (F.col("node_y") < F.col("node_x")))
+    need = up((F.col("n_x") + F.col("n_y")) * NUM, NUM + DEN)
+    rest = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) >= need
+    fits = (F.col("root_x") != F.col("root_y")) & later & rest & (F.col("n_y") * DEN >= F.col("n_x") * NUM)
+    minor, top = F.col("root") != F.col("top"), F.col("root") == F.col("top")
+    some = side(heads.where(minor), "x").join(side(heads.where(short), "y"), "h").where(fits)
+    more = side(heads.where(top), "x").join(side(heads.where(short & minor), "y"), "h").where(fits)
+    return some.unionByName(more).select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row.
 
@@ -110,10 +142,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     labels of 8; each label is a place in one of 16 sorted orders. Nodes that share the first 4 minhashes of a label
     are a region of that order: a pair at 0.85 shares a region with probability 1 - 8e-6. Candidates are, first, the
     neighbours in each order, which have the longest common prefixes, so the depth adapts to how dense a region is.
-    What 128 minhashes don't rule out is compared on the full sets, and components are taken. Second, wherever a region
-    still holds several components, each node outside the region's largest one is paired with all nodes of others,
-    so no link between components is missed and nothing is capped; a dense group of copies is one component by then
-    and gives no pairs. Orders are range-partitioned by label and node, which splits hot regions.
+    What 128 minhashes don't rule out is compared on the full sets, and components are taken. Second, the nodes of
+    regions that still hold several components are the candidates for links between components; an exact prefix filter
+    leaves few pairs of them, so nothing is capped and no link is missed; a dense group of copies is one component by
+    then and gives no pairs. Orders are range-partitioned by label and node, which splits hot regions.
 
     Nulls: a null or empty text, or one of blanks, has an empty set and is linked with nothing. Rows that share an id
     are one document and share its links; a null id counts as an id and is returned as null. Repeated rows stay. An
@@ -149,9 +181,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     mixed = per.groupBy("region").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1")
     mixed = durable(mixed.select("region", F.col("top.root").alias("top")), made)
     left = durable(placed.join(small(mixed), "region"), made)
-    minor = left.where("root <> top").select("region", F.col("node").alias("x"), F.col("root").alias("rx"))
-    every = left.select("region", F.col("node").alias("y"), F.col("root").alias("ry"))
-    cross = minor.join(every, "region").where("rx <> ry").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    cross = _crossing(left.select("node", "root").distinct(), sets)
     cross = durable(cross.join(pairs, ["a", "b"], "left_anti"), made)
     more = _linked(cross, sigs, sets)
     names = durable(components(links.unionByName(more)), made)
