@@ -25,7 +25,7 @@ FORMATS = ("ndjson", "json", "csv", "parquet")
 # Codecs by the names they are asked for.
 CODECS = {"snappy": "snappy", "zstd": "zstd", "gzip": "gzip", "lz4": "lz4_raw", "lz4_raw": "lz4_raw", "uncompressed": "uncompressed"}
 _ESCAPES = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
-_SPECIAL = re.compile("[\"\\\\\x00-\x1f  ]")
+_SPECIAL = re.compile("[\"\\\\\x00-\x1f\u2028\u2029]")
 _EPOCH = dt.datetime(1970, 1, 1)
 
 
