@@ -89,7 +89,8 @@ def ordinal(df: DataFrame, inputs: list[str]) -> Column:
         return row
     if len(files) <= NUMBERED_FILES:
         ranked = sorted(files, key=lambda f: (place(f), names[f]))
-        number = F.create_map(*[F.lit(x) for i, f in enumerate(ranked) for x in (f, i)])
+        spelled = lambda f: {f, f.replace(":///", ":/", 1)}  # noqa: E731  Spark writes local files both ways
+        number = F.create_map(*[F.lit(x) for i, f in enumerate(ranked) for s in sorted(spelled(f)) for x in (s, i)])
         return F.call_function("shiftleft", F.try_element_at(number, path).cast("long"), F.lit(_PLACE_BITS)) + row
     where = F.lit(len(plain))
     for i, p in reversed(list(enumerate(plain))):
