@@ -77,27 +77,26 @@ def shard_documents(docs: DataFrame, limit: int = SHARD_BYTES, *, id_col: str =
     at more bits. One document larger than the limit has a shard of its own.
 
     Rows with one id (a hot key, or repeated rows) share all bits; if they do not fit together they overflow into
-    shards ('~' and bits) addressed by a hash of the row's number in the scan, so one key may hold any share of rows.
+    shards ('~' and bits) addressed by a hash of a number given to each such row, so one key may hold any share of rows.
 
     Nulls: a null id hashes as the text 'null'; a null or empty text has 0 bytes. An empty table gives an empty
     result. Columns of docs named shard, depth or shard_bytes are replaced; other columns pass.
     """
     if limit < 1:
         raise ValueError("limit must be at least 1 byte")
-    rows = docs.drop("shard", "depth", "shard_bytes").withColumns(
-        {"__h": md5_bits(F.col(id_col)), "__uid": F.monotonically_increasing_id()}
-    )
-    size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
-    keys = durable(rows.select(F.col("__h").alias("h"), F.col("__uid").alias("uid"), size.alias("bytes")))
-    done, rest, over = _assign(rows, keys, limit, "")
+    rows = docs.drop("shard", "depth", "shard_bytes").withColumn("__h", md5_bits(F.col(id_col)))
+    size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("bytes")
+    keys = durable(rows.select(F.col("__h").alias("h"), size))
+    done, rest, _ = _assign(rows, keys, limit, "")
     if rest is not None:
-        again = F.col("uid")
-        over = over.withColumn("h", md5_bits(again))
-        more, rest, _ = _assign(rest.withColumn("__h", md5_bits(F.col("__uid"))), over, limit, "~")
+        # numbers are stored with the rows: another scan might number them otherwise
+        rest = durable(rest.withColumn("__uid", F.monotonically_increasing_id()))
+        rest = rest.withColumn("__h", md5_bits(F.col("__uid"))).drop("__uid")
+        more, rest, _ = _assign(rest, durable(rest.select(F.col("__h").alias("h"), size)), limit, "~")
         done = done.unionByName(more)
         if rest is not None:
             raise RuntimeError("two row numbers share 60 bits of a hash")
-    return done.drop("__h", "__uid")
+    return done.drop("__h")
 
 
 def oracle_sql(limit: int = SHARD_BYTES) -> str:
