@@ -262,214 +262,6 @@ def fit(texts: list[str], labels: list[int], *, landmarks: int = LANDMARKS, nega
     if not len(starts):
         return plain
     n = len(starts)
-    if n:
-        single = ends - starts == 1
-        joined = np.zeros(n, bool)  # to the word before
-        joined[1:] = single[1:] & single[:-1]
-        joined[w.first[:-1][w.first[:-1] < n]] = False
-        head = np.flatnonzero(~joined)
-        first = np.searchsorted(head, w.first)
-        starts, ends = starts[head], ends[np.append(head[1:], n) - 1]
-    else:
-        first = w.first
-    long = ends - starts > WIDE
-    if long.any():
-        step = WIDE // 2
-        times = np.where(long, -(-(ends - starts - step) // step), 1)
-        total = np.concatenate([[0], np.cumsum(times)])
-        k = np.arange(total[-1]) - np.repeat(total[:-1], times)
-        s, e = np.repeat(starts, times) + k * step, np.repeat(ends, times)
-        starts, ends, first = s, np.where(np.repeat(long, times), np.minimum(s + WIDE, e), e), total[first]
-    return starts, ends, first
-
-
-def layout(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the segments one after another, each followed by zeros that no subsequence reaches over; where they start."""
-    size = ends - starts + _PAD
-    at = np.concatenate([[0], np.cumsum(size)])
-    src = np.arange(at[-1]) - np.repeat(at[:-1] - starts, size)
-    pad = src >= np.repeat(ends, size)
-    codes = CODES[data[np.minimum(src, len(data) - 1)]] if len(data) else np.zeros(0, np.int32)
-    codes[pad] = 0
-    return codes, at
-
-
-def occurrences(codes: np.ndarray) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
-    """For each choice of distances: the weight, then four-letter subsequences as numbers, and whether they are whole."""
-    n = len(codes) - _PAD
-    if n <= 0:
-        return
-    some = codes > 0
-    for d1 in range(1, REACH + 1):
-        two, real2 = (codes[:n] << 15) | (codes[d1 : n + d1] << 10), some[:n] & some[d1 : n + d1]
-        for d2 in range(d1 + 1, d1 + REACH + 1):
-            three, real3 = two | (codes[d2 : n + d2] << 5), real2 & some[d2 : n + d2]
-            for d3 in range(d2 + 1, d2 + REACH + 1):
-                yield DECAY ** (d3 - 3), three | codes[d3 : n + d3], real3 & some[d3 : n + d3]
-
-
-def sums(codes: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each segment: the sum of the table over its subsequences, and its norm. The table holds 0 for parts."""
-    if len(at) < 2:
-        return np.zeros(0), np.zeros(0)
-    part, square = np.zeros(len(codes), np.float32), np.zeros(len(codes), np.float32)
-    for weight, number, whole in occurrences(codes):
-        part[: len(number)] += np.float32(weight) * table[number]
-        square[: len(number)] += np.float32(weight * weight) * whole
-    return np.add.reduceat(part, at[:-1]), np.sqrt(np.add.reduceat(square, at[:-1]) + np.float32(0.5))
-
-
-def kernel(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, tables: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """The kernel of each segment with each landmark, (segments, landmarks)."""
-    out = np.zeros((len(starts), len(tables)), np.float32)
-    columns = np.ascontiguousarray(tables.T)
-    for i in range(0, len(starts), 2_000):
-        codes, at = layout(data, starts[i : i + 2_000], ends[i : i + 2_000])
-        part, square = np.zeros((len(codes), len(tables)), np.float32), np.zeros(len(codes), np.float32)
-        for weight, number, whole in occurrences(codes):
-            where = index[number]
-            known = np.flatnonzero(where)
-            part[known] += np.float32(weight) * columns[where[known]]
-            square[: len(number)] += np.float32(weight * weight) * whole
-        norm = np.sqrt(np.add.reduceat(square, at[:-1]) + np.float32(0.5))
-        out[i : i + 2_000] = np.add.reduceat(part, at[:-1], axis=0) / norm[:, None]
-    return out
-
-
-def explicit(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The kernel's explicit features of one segment, over its norm: numbers of subsequences and values."""
-    found, square = [(np.zeros(0, np.int64), np.zeros(0))], 0.5
-    for weight, number, whole in occurrences(codes):
-        found.append((number[whole], np.full(whole.sum(), weight)))
-        square += weight * weight * whole.sum()
-    ids, back = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
-    return ids, np.bincount(back, np.concatenate([f[1] for f in found]), len(ids)) / np.sqrt(square)
-
-
-def tables_of(segs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(numbers of the features that landmarks have, where each number stands, a row of values for each landmark)."""
-    rows = [explicit(c) for c in segs]
-    ids = np.unique(np.concatenate([r[0] for r in rows]))
-    index = np.zeros(SPACE, np.int32)
-    index[ids] = np.arange(1, len(ids) + 1)
-    tables = np.zeros((len(rows), len(ids) + 1), np.float32)
-    for t, (k, v) in zip(tables, rows, strict=True):
-        t[index[k]] = v
-    return ids, index, tables
-
-
-@dataclass
-class Model:
-    """The machine as one table: with alpha the landmarks' weights, the sum of alpha times their features."""
-
-    table: np.ndarray
-    bias: float
-    slope: tuple[float, float, float]
-
-    def margins(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        if not len(starts):
-            return np.zeros(0)
-        total, norm = sums(*layout(data, starts, ends), self.table)
-        return total / norm + self.bias
-
-    def bags(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """The largest margin of each text's segments, and the logarithm of 1 and how many are on the toxic side."""
-        starts, ends, first = segments(data, offsets)
-        best, many = np.full(len(offsets) - 1, -3.0), np.zeros(len(offsets) - 1)
-        if len(starts):
-            h = run_hashes(FOLDED[data], starts, ends)
-            _, one, back = np.unique(h, return_index=True, return_inverse=True)
-            m = self.margins(data, starts[one], ends[one])[back]
-            full = np.flatnonzero(np.diff(first))
-            best[full] = np.maximum(np.maximum.reduceat(m, first[full]), -3.0)
-            many[full] = np.add.reduceat((m > 0).astype(float), first[full])
-        return np.stack([best, np.log1p(many)], 1)
-
-    def logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        return self.slope[0] + self.bags(data, offsets) @ np.array(self.slope[1:])
-
-
-def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """Squared hinge loss and a ridge, by damped Newton steps on the rows within the margin; the last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    ridge = 0.05 * np.eye(x.shape[1])
-    ridge[-1, -1] = 1e-3
-
-    def loss(w: np.ndarray) -> float:
-        return float(w @ ridge @ w + cost @ np.maximum(1 - y * (x @ w), 0) ** 2)
-
-    w, now = np.zeros(x.shape[1]), float(cost.sum())
-    for _ in range(rounds):
-        near = y * (x @ w) < 1
-        a = x[near] * cost[near, None]
-        step = np.linalg.solve(a.T @ x[near] + ridge, a.T @ y[near]) - w
-        size = 1.0
-        while (new := loss(w + size * step)) > now and size > 1e-6:
-            size /= 2
-        done = now - new < 1e-7 * now
-        if new < now:
-            w, now = w + size * step, new
-        if done:
-            break
-    return w
-
-
-def _platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Logistic regression on two inputs by Newton steps."""
-    x = np.hstack([np.ones((len(x), 1)), x])
-    w = np.array([0.0, 1.0, 0.0])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + 0.05 * w
-        h = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(3)
-        step = np.linalg.solve(h, g)
-        w -= np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-6:
-            break
-    return float(w[0]), max(float(w[1]), 0.0), float(w[2])
-
-
-def _disguised(word: bytes, rng: np.random.Generator) -> list[bytes]:
-    """The same word with a mark between all characters, and with one character put in."""
-    if len(word) < 4 or max(word) > 127 or 2 * len(word) > WIDE:
-        return []
-    k = int(rng.integers(1, len(word)))
-    mark, letter = b".-*_"[k % 4 : k % 4 + 1], b"xzqkw"[k % 5 : k % 5 + 1]
-    return [mark.join(word[i : i + 1] for i in range(len(word))), word[:k] + mark + word[k:], word[:k] + letter + word[k:]]
-
-
-def _vocabulary(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes of the different segments, their starts, their ends), and pairs (segment, text), each once."""
-    hashes, kept, pairs = [], [], []
-    for i, j, data, offsets in chunks(pa.array(texts), FIT_BYTES):
-        starts, ends, first = segments(data, offsets)
-        h, one, back = np.unique(run_hashes(FOLDED[data], starts, ends), return_index=True, return_inverse=True)
-        both = np.unique(back * (j - i) + np.repeat(np.arange(j - i), np.diff(first)))
-        pairs.append((h[both // (j - i)], both % (j - i) + i))
-        size = (ends - starts)[one]
-        at = np.concatenate([[0], np.cumsum(size)])
-        kept.append((data[np.arange(at[-1]) + np.repeat(starts[one] - at[:-1], size)], size))
-        hashes.append(h)
-    h, one = np.unique(np.concatenate(hashes), return_index=True)
-    ends = np.cumsum(np.concatenate([k[1] for k in kept]))
-    starts = ends - np.concatenate([k[1] for k in kept])
-    seg = np.searchsorted(h, np.concatenate([p[0] for p in pairs]))
-    return np.concatenate([k[0] for k in kept]), starts[one], ends[one], seg, np.concatenate([p[1] for p in pairs])
-
-
-def fit(texts: list[str], labels: list[int], *, landmarks: int = LANDMARKS, negatives: int = 8_000, rounds: int = 3) -> Model:
-    """Labels mark texts, not segments: segments that mark toxic texts start as examples; each round, the segments of
-    toxic texts with the largest margins join them, and the clean segments with the largest margins are counterexamples.
-    The plainest toxic segments also count with characters put in.
-
-    Without rows of both classes, or without words, the share of ones is the score.
-    """
-    y = np.array(labels, float)
-    ones = y.mean() if len(y) else 0.5
-    if not 0 < ones < 1:
-        return Model(np.zeros(SPACE, np.float32), -1.0, (float(np.log((ones + 0.01) / (1.01 - ones))), 0.0, 0.0))
-    data, starts, ends, seg, doc = _vocabulary(texts)
-    n = len(starts)
     df1, df0 = np.bincount(seg, y[doc], n), np.bincount(seg, 1 - y[doc], n)
     n1, n0 = y.sum(), (1 - y).sum()
     p1, p0 = (df1 + 0.1) / (n1 + 1), (df0 + 0.1) / (n0 + 1)
