@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataq.llm.common import durable
-from strataq.llm.tokens import buffers, grams, words
+from strataq.llm.tokens import buffers, grams, mix, words
 
 #: A factor of so many words or more is a repeat.
 LEAST = 20
@@ -89,7 +89,8 @@ def _index(least: int):
                 wins = pa.Array.from_buffers(pa.binary(), len(a) + m, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw)])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate([key[a], win[own]]).view(np.int64)),
+                        # what is settled here goes on by its place, not by its words, which may be very common
+                        pa.array(np.concatenate([key[a], mix(doc[own].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + pos[own].astype(np.uint64))]).view(np.int64)),
                         both(doc[a], doc[own], np.int64),
                         both(pos[a], pos[own], np.int32),
                         both(np.zeros(len(a)), n, np.int32),
