@@ -104,10 +104,20 @@ def compare(v: Value, op: str, lit: Lit, *, guard: bool = True) -> Column:
             micros, whole = days * 86_400_000_000 + nanos // 1000, nanos % 1000 == 0
         else:
             raise QueryError("BadValue", "a timestamp is needed")
-        return _exact(op, c, F.timestamp_micros(F.lit(micros)).cast(v.type), whole)
+        return _exact(op, c, _moment(micros, v.type), whole)
     raise QueryError("RepeatedColumn" if isinstance(v.type, T.ArrayType | T.MapType) else "UnsupportedFilterType", f"no comparison of {v.type.simpleString()}")
 
 
+def _moment(micros: int, t: T.DataType) -> Column:
+    """A literal of a time type. Local times are written out, so that no time zone of the session comes into it."""
+    if isinstance(t, T.TimestampNTZType):
+        try:
+            return F.lit((dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=micros)).isoformat(" ")).cast(t)
+        except OverflowError as e:
+            raise QueryError("BadValue", f"{micros} is out of range") from e
+    return F.timestamp_micros(F.lit(micros))
+
+
 class Scope:
     """What may stand on the left of a predicate: columns of a schema, and make_date of them."""
 

@@ -1 +1,18 @@
-"""strataq.streaming package."""
+"""An extension beyond batch files: the same queries over a folder that keeps getting Parquet files."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+from strataq.api import Engine
+from strataq.plans.errors import QueryError
+from strataq.plans.parser import parse_sql
+
+
+def stream(spark: SparkSession, folder: str, schema: T.StructType, sql: str) -> DataFrame:
+    """A streaming DataFrame for a query whose FROM names anything; rows or groups, without ORDER BY, LIMIT or exact distinct."""
+    q = parse_sql(sql)
+    if q.order or q.limit is not None or q.offset:
+        raise QueryError("UnboundedInput", "no ORDER BY, LIMIT or OFFSET over a stream")
+    return Engine(spark).run(q, spark.readStream.schema(schema).parquet(folder))
