@@ -62,6 +62,8 @@ def _session(a: argparse.Namespace):
 
 def _query(a: argparse.Namespace) -> int:
     from strataq.api import Engine, build
+    from strataq.operators.query import execute
+    from strataq.plans.ast import Agg, Item, Query
     from strataq.plans.parser import parse_sql
     from strataq.sources import sinks
 
@@ -117,7 +119,10 @@ def _query(a: argparse.Namespace) -> int:
             rows = spark.read.parquet(a.output).count()
         elif form != "ndjson":
             rows = rows - (1 if form == "csv" else 2)
-        out = {"type": "summary", "ok": True, "rows": rows, "output": a.output if named else None, "codec": (a.codec or "snappy").upper() if form == "parquet" else None, "total_ms": int((time.monotonic() - began) * 1000)}
+        whole, _ = engine._open(source if source is not None else q.source, False)
+        rows_in = whole.count()
+        matched = rows_in if q.where is None else execute(whole, Query(items=[Item(Agg("count", None), "n")], where=q.where)).first()[0]
+        out = {"type": "summary", "ok": True, "rows": rows, "rows_in": rows_in, "rows_scanned": rows_in, "rows_matched": matched, "output": a.output if named else None, "codec": (a.codec or "snappy").upper() if form == "parquet" else None, "total_ms": int((time.monotonic() - began) * 1000)}
         print(json.dumps(out), file=sys.stderr)
     return 0
 

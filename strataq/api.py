@@ -56,7 +56,7 @@ class Engine:
         self.spark = spark
         self.tables = dict(tables or {})
 
-    def _open(self, source: str | list[str], exact: bool) -> tuple[DataFrame, list[str]]:
+    def _open(self, source: str | list[str] | DataFrame, exact: bool) -> tuple[DataFrame, list[str]]:
         if isinstance(source, str) and source in self.tables:
             source = self.tables[source]
         if isinstance(source, DataFrame):
@@ -65,7 +65,7 @@ class Engine:
         paths = parquet.expand(self.spark, inputs)
         return parquet.open_table(self.spark, paths, exact=exact), paths
 
-    def run(self, q: Query, source: str | list[str] | None = None, *, ordered: bool = False, copy: bool = False) -> DataFrame:
+    def run(self, q: Query, source: str | list[str] | DataFrame | None = None, *, ordered: bool = False, copy: bool = False) -> DataFrame:
         """The answer as a DataFrame. ordered: rows in input order, groups by first appearance, also without a LIMIT."""
         source = source if source is not None else q.source
         if source is None:
@@ -108,7 +108,7 @@ class Engine:
         digest = hashlib.sha256(json.dumps([plan, aggregate, group_by]).encode()).hexdigest()[:32]
         return plan | {"plan_version": PLAN_VERSION, "plan_digest": digest}
 
-    def partial(self, source: str | list[str], aggregate: str, group_by: str | None = None, filter: str | None = None) -> DataFrame:
+    def partial(self, source: str | list[str] | DataFrame, aggregate: str, group_by: str | None = None, filter: str | None = None) -> DataFrame:
         """One worker's share: _g{i} and _a{i}; an average is its state (sum, count)."""
         self.prepare(aggregate, group_by)
         q = build(aggregate=aggregate, group_by=group_by, filter=filter)
@@ -167,11 +167,14 @@ class Engine:
             p = r.get("partial") or {}
             if {"sql", "select", "columns", "column_order", "output_url"} & (set(r) | set(p)):
                 raise QueryError("BadFieldType", "a partial aggregate takes inputs, aggregate, group_by and filter")
-            df = self.partial(p["inputs"], p["aggregate"], p.get("group_by"), p.get("filter"))
+            source = parquet.open_slices(self.spark, p["inputs"], p["row_groups"]) if p.get("row_groups") else p["inputs"]
+            df = self.partial(source, p["aggregate"], p.get("group_by"), p.get("filter"))
             return self.prepare(p["aggregate"], p.get("group_by")) | {"partial_version": 1, "schema_fingerprint": self.schema_fingerprint(p["inputs"]), "rows": self._rows(df)}
         if op is not None:
             raise QueryError("UnknownOperation", str(op))
         if "sql" in r:
+            if "row_groups" in r:
+                raise QueryError("BadFieldType", "row_groups goes without sql")
             df = self.sql(r["sql"], ordered=r.get("ordered", True))
         else:
             source = r.get("inputs") or ([r["s3_url"]] if "s3_url" in r else None)
@@ -180,6 +183,8 @@ class Engine:
             names = [c.strip() for c in r.get("columns", []) if c.strip()]
             order = r["column_order"].split(",") if isinstance(r.get("column_order"), str) else r.get("column_order")
             q = build(filter=r.get("filter"), columns=names, select=r.get("select"), aggregate=r.get("aggregate"), group_by=r.get("group_by"), column_order=order, limit=r.get("limit"))
+            if "row_groups" in r:
+                source = parquet.open_slices(self.spark, list(source), r["row_groups"])
             df = self.run(q, source, ordered=r.get("ordered", True), copy="output_url" in r)
         if "output_url" in r:
             codec = r.get("output_codec", "snappy")

@@ -96,3 +96,39 @@ def ordinal(df: DataFrame, inputs: list[str]) -> Column:
     for i, p in reversed(list(enumerate(plain))):
         where = F.when(path.contains(p), i).otherwise(where)
     return F.struct(where.alias("input"), path.alias("file"), row.alias("row"))
+
+
+def row_group_bounds(path: str, wanted: list[int] | None) -> tuple[int, int] | None:
+    """First and end row of row groups [start, end) of a local file, or of the fraction [start, end, of] of them."""
+    import pyarrow.parquet as pq
+
+    if wanted is None:
+        return None
+    if len(wanted) not in (2, 3) or any(type(x) is not int or x < 0 for x in wanted) or wanted[0] > wanted[1] or (len(wanted) == 3 and not 0 < wanted[2] >= wanted[1]):
+        raise QueryError("BadFieldType", f"row_groups: {wanted}")
+    try:
+        meta = pq.ParquetFile(re.sub(r"^file:(//)?(?=/)", "", path)).metadata
+    except OSError as e:
+        raise DataError("OpenFailed", f"{path}: {e}") from e
+    n = meta.num_row_groups
+    start, end = wanted[:2] if len(wanted) == 2 else (wanted[0] * n // wanted[2], wanted[1] * n // wanted[2])
+    if end > n:
+        raise DataError("RowGroupOutOfRange", f"{path} has {n} row groups")
+    sizes = [meta.row_group(i).num_rows for i in range(n)]
+    return sum(sizes[:start]), sum(sizes[:end])
+
+
+def open_slices(spark: SparkSession, inputs: list[str], slices: list[list[int] | None]) -> DataFrame:
+    """The inputs as one table, of each just the rows of its slice of row groups."""
+    if len(slices) != len(inputs):
+        raise QueryError("BadFieldType", "row_groups: one entry for each input")
+    schema = check_schemas(spark, inputs, False)
+    out = None
+    for path, wanted in zip(inputs, slices, strict=True):
+        part = spark.read.schema(schema).parquet(path)
+        bounds = row_group_bounds(path, wanted)
+        if bounds:
+            row = F.col("_metadata.row_index")
+            part = part.where((row >= bounds[0]) & (row < bounds[1]))
+        out = part if out is None else out.unionAll(part)
+    return out

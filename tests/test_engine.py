@@ -180,6 +180,10 @@ def test_partial_and_requests(spark, files):
     assert ok["ok"] and ok["rows"] == [{"n": 10}]
     assert e.request({"inputs": [path], "filter": "id %"})["error"] == "ModuloNotSupported"
     assert e.request({"operation": "partial_aggregate", "partial": {"inputs": [path], "aggregate": "avg(id) AS m"}})["rows"][0]["_a0"]["count"] == 60
+    slices = [e.request({"inputs": [path], "row_groups": [g], "aggregate": "count(*) AS n, min(id) AS lo"})["rows"][0] for g in ([0, 1], [1, 4], [2, 2], [1, 2, 3])]
+    assert slices == [{"n": 16, "lo": -10}, {"n": 44, "lo": 6}, {"n": 0, "lo": None}, {"n": 16, "lo": 6}]
+    for bad, code in (([[0, 9]], "RowGroupOutOfRange"), ([[2, 1]], "BadFieldType"), ([], "BadFieldType")):
+        assert e.request({"inputs": [path], "row_groups": bad, "aggregate": "count(*) AS n"})["error"] == code
     assert e.request({"operation": "capabilities"})["partial_aggregate_version"] == 1
     assert e.request({"sql": f"SELECT count(DISTINCT k) AS n FROM '{path}'"})["rows"] == [{"n": 3}]
 
@@ -190,7 +194,7 @@ def test_command_line(spark, files, tmp_path, capsys):
     assert capsys.readouterr().out == '{"id":3,"k":"a"}\n'
     out = str(tmp_path / "o.parquet")
     assert main(["query", path, "--aggregate", "sum(id) AS s", "-o", out, "--codec", "zstd", "--summary=json"]) == 0
-    assert pq.read_table(out).to_pydict() == {"s": [1170]} and json.loads(capsys.readouterr().err.strip().split("\n")[-1])["rows"] == 1
+    assert pq.read_table(out).to_pydict() == {"s": [1170]} and {**json.loads(capsys.readouterr().err.strip().split("\n")[-1]), "total_ms": 0} == {"type": "summary", "ok": True, "rows": 1, "rows_in": 60, "rows_scanned": 60, "rows_matched": 60, "output": out, "codec": "ZSTD", "total_ms": 0}
     assert main(["query", "--query", f"SELECT id % 2 FROM '{path}'"]) == 2
     assert main(["query", str(files / "none.parquet")]) == 1
     assert main(["query", path, "--aggregate", "count(*)", "--select", "id"]) == 2
