@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataq.llm.common import BROADCAST_ROWS, drop_tables, durable, small
+from strataq.llm.common import BROADCAST_ROWS, drop_tables, durable, ship, small
 from strataq.llm.components import components
 from strataq.llm.tokens import grams, mix, words
 
@@ -152,6 +152,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     empty table gives an empty result. Only the two named columns are read.
     """
     spark = docs.sparkSession
+    ship(spark)
     made: list[str] = []
     given = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text_col).alias("text"))
     sketches = durable(given.mapInArrow(_sketch, "id long, n long, h1 long, h2 long, sig binary"), made)

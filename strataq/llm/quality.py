@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataq.llm.common import ship
 from strataq.llm.tokens import TABLE, chunks, mix, run_hashes
 
 #: At most about so many labelled rows are fitted on, those of least hash; so the driver's share is bounded.
@@ -124,6 +125,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     """
     names = [c for c in (keep if keep is not None else [id_col]) if c != score_col]
     spark = docs.sparkSession
+    ship(spark)
     shared = spark.sparkContext.broadcast(model)
     given = docs.select(*names, F.col(text_col).alias("__text"))
 

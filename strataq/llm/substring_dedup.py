@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataq.llm.common import durable
+from strataq.llm.common import durable, ship
 from strataq.llm.tokens import buffers, grams, mix, words
 
 #: A factor of so many words or more is a repeat.
@@ -218,6 +218,7 @@ def drop_repeats(docs: DataFrame, least: int = LEAST, *, id_col: str = "doc_id",
     """
     if least < 2:
         raise ValueError("least must be 2 words or more")
+    ship(docs.sparkSession)
     given = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc"), F.col(text_col).alias("text"))
     rows = given.mapInArrow(_index(least), _ROWS).repartition("key").sortWithinPartitions("key", "doc", "pos")
     found = durable(rows.mapInArrow(_match, _RUNS))
