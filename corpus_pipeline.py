@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from strataq.llm import decontamination, mixing, near_dedup, quality, sharding
 from strataq.llm.common import durable, table
 
+#: Jaccard similarity of shingle sets from which on the stage takes documents as copies; op3_near_dedup has its own.
+NEAR = 0.8
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, trained on the labelled ones among docs, doesn't reject."""
@@ -17,7 +20,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.drop_near_duplicates(docs)
+    return near_dedup.drop_near_duplicates(docs, NEAR)
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

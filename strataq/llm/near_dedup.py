@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -14,17 +17,58 @@ from strataq.llm.components import components
 from strataq.llm.tokens import grams, mix, words
 
 SHINGLE = 5
-#: Documents are linked if DEN * |intersection| >= NUM * |union|.
-NUM, DEN = 85, 100
-#: Orders of signatures, minhashes in each, and how many must agree from the first on.
-TREES, DEPTH, LEAST = 16, 8, 4
-#: Pairs of which fewer of the TREES * DEPTH minhashes agree are not compared: 4.5 standard deviations below 0.85.
-AGREE = 90
+#: Documents are linked from this Jaccard similarity on, unless a caller names another.
+THRESHOLD = 0.85
+#: Minhashes of a set, how many a label holds, and from how many on two labels share a region, at most.
+HASHES, DEPTH, LEAST = 128, 8, 4
+#: The forest and the count of agreeing minhashes may each miss a pair at the threshold with at most this probability.
+MISS = 8e-6
 _NULL_ID = -(1 << 63)
 
 _rng = np.random.default_rng(11)
-_A = _rng.integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64)
+_A = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
+
+
+@dataclass(frozen=True)
+class Limits:
+    """What follows from a threshold: documents are linked if den * |intersection| >= num * |union|.
+
+    Of the minhashes, tree t's label are depth from t * stride on; the first least of them are its region, and no two
+    regions share a minhash. Pairs of which fewer than agree minhashes agree are not compared.
+    """
+
+    num: int
+    den: int
+    least: int
+    trees: int
+    agree: int
+
+    @property
+    def stride(self) -> int:
+        return HASHES // self.trees
+
+    @property
+    def depth(self) -> int:
+        return min(DEPTH, HASHES - (self.trees - 1) * self.stride)
+
+
+def limits(threshold: float) -> Limits:
+    """The deepest regions of which HASHES hold enough for MISS, and the highest count of agreeing minhashes for it."""
+    part = Fraction(str(threshold)).limit_denominator(1_000)
+    if not 0 < part <= 1:
+        raise ValueError("threshold must be above 0 and at most 1")
+    s = float(part)
+    for least in range(LEAST, 0, -1):
+        trees = 1 if s == 1 else math.ceil(math.log(MISS) / math.log1p(-(s**least)))
+        if trees * least <= HASHES:
+            break
+    else:
+        raise ValueError(f"{HASHES} minhashes are too few for threshold {threshold}")
+    agree, lost = 0, 0.0
+    while agree < HASHES and (lost := lost + math.comb(HASHES, agree) * s**agree * (1 - s) ** (HASHES - agree)) <= MISS:
+        agree += 1
+    return Limits(part.numerator, part.denominator, least, trees, agree)
 
 
 def _signed(h: np.ndarray) -> pa.Array:
@@ -36,19 +80,19 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         n = np.zeros(len(b), np.int64)
         h1, h2 = np.zeros(len(b), np.uint64), np.zeros(len(b), np.uint64)
-        sig = np.zeros((len(b), TREES * DEPTH), ">u4")
+        sig = np.zeros((len(b), HASHES), ">u4")
         for i, _, w in words(b.column(1), fold=True):
             g, first = grams(w, SHINGLE)
             full = np.flatnonzero(np.diff(first))
             if not len(full):
                 continue
-            for k in range(TREES * DEPTH):
+            for k in range(HASHES):
                 sig[i + full, k] = np.minimum.reduceat(((g * _A[k] + _B[k]) >> np.uint64(32)).astype(np.uint32), first[full])
             for d in full:
                 own = np.unique(g[first[d] : first[d + 1]])
                 n[i + d], h1[i + d], h2[i + d] = len(own), own.sum(), mix(own ^ np.uint64(0x5DEECE66D)).sum()
         raw = sig.tobytes()
-        size = 4 * TREES * DEPTH
+        size = 4 * HASHES
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), _signed(h1), _signed(h2), pa.array([raw[k * size : k * size + size] for k in range(len(b))], pa.binary())], names=["id", "n", "h1", "h2", "sig"])
 
 
@@ -78,28 +122,31 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, signature of a, signature of b) to the pairs of which enough minhashes agree."""
-    for b in batches:
-        for k in range(0, len(b), 2_000):
-            part = b.slice(k, 2_000)
-            x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint32).reshape(len(part), -1) for c in (2, 3))
-            yield part.select([0, 1]).filter(pa.array((x == y).sum(1) >= AGREE))
+def _agreeing(agree: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(a, b, signature of a, signature of b) to the pairs of which enough minhashes agree."""
+        for b in batches:
+            for k in range(0, len(b), 2_000):
+                part = b.slice(k, 2_000)
+                x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint32).reshape(len(part), -1) for c in (2, 3))
+                yield part.select([0, 1]).filter(pa.array((x == y).sum(1) >= agree))
+
+    return run
 
 
-def _linked(pairs: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, at: Limits) -> DataFrame:
     """Those pairs (a, b) that the whole shingle sets link."""
     of = lambda df, end, col: df.select(F.col("node").alias(end), F.col(col).alias(f"{col}_{end}"), *([F.col("n").alias(f"n_{end}")] if col == "sig" else []))
     both = pairs.join(of(sigs, "a", "sig"), "a").join(of(sigs, "b", "sig"), "b")
-    sizes = F.least("n_a", "n_b") * DEN >= F.greatest("n_a", "n_b") * NUM
-    near = durable(both.where(sizes).select("a", "b", "sig_a", "sig_b").mapInArrow(_agreeing, "a long, b long"))
+    sizes = F.least("n_a", "n_b") * at.den >= F.greatest("n_a", "n_b") * at.num
+    near = durable(both.where(sizes).select("a", "b", "sig_a", "sig_b").mapInArrow(_agreeing(at.agree), "a long, b long"))
     both = near.join(of(sets, "a", "shingles"), "a").join(of(sets, "b", "shingles"), "b")
     shared = F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long")
     union = F.size("shingles_a") + F.size("shingles_b") - shared
-    return durable(both.where(shared * DEN >= union * NUM).select("a", "b").distinct())
+    return durable(both.where(shared * at.den >= union * at.num).select("a", "b").distinct())
 
 
-def _crossing(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+def _crossing(nodes: DataFrame, sets: DataFrame, at: Limits) -> DataFrame:
     """All pairs (a, b) of nodes (node, root) of different roots whose sets could be similar enough.
 
     A prefix-filtered join: shingles are ordered by how many of the nodes have them; of two similar sets, the first
@@ -110,37 +157,38 @@ def _crossing(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     tokens = durable(own.select("node", F.explode("shingles").alias("h")))
     often = durable(tokens.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"))
     ranked = tokens.join(often, "h", "left").groupBy("node").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "h"))).alias("all"))
-    n = F.size("all")
+    n = F.size("all").cast("long")
     up = lambda x, by: F.floor((x + (by - 1)) / by).cast("int")
-    first = F.posexplode(F.slice("all", 1, n - up(n * NUM, DEN) + 1)).alias("pos", "t")
+    first = F.posexplode(F.slice("all", 1, (n - up(n * at.num, at.den) + 1).cast("int"))).alias("pos", "t")
     heads = ranked.select("node", n.alias("n"), first).where("t.c > 1").select("node", "n", "pos", F.col("t.h").alias("h"))
     heads = durable(heads.join(nodes, "node"))
     per = heads.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("roots"))
     mixed = durable(per.where("roots > 1").select("h", F.col("top.root").alias("top")))
     heads = durable(heads.join(mixed, "h"))
-    short = F.col("pos") <= F.col("n") - up(F.col("n") * 2 * NUM, NUM + DEN)
+    short = F.col("pos") <= F.col("n") - up(F.col("n") * 2 * at.num, at.num + at.den)
     side = lambda df, e: df.select("h", *[F.col(c).alias(f"{c}_{e}") for c in ("node", "root", "n", "pos")])
     larger = F.col("n_y") < F.col("n_x")
     later = larger | ((F.col("n_y") == F.col("n_x")) & (F.col("node_y") < F.col("node_x")))
-    need = up((F.col("n_x") + F.col("n_y")) * NUM, NUM + DEN)
+    need = up((F.col("n_x") + F.col("n_y")) * at.num, at.num + at.den)
     rest = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) >= need
-    fits = (F.col("root_x") != F.col("root_y")) & later & rest & (F.col("n_y") * DEN >= F.col("n_x") * NUM)
+    fits = (F.col("root_x") != F.col("root_y")) & later & rest & (F.col("n_y") * at.den >= F.col("n_x") * at.num)
     minor, top = F.col("root") != F.col("top"), F.col("root") == F.col("top")
     some = side(heads.where(minor), "x").join(side(heads.where(short), "y"), "h").where(fits)
     more = side(heads.where(top), "x").join(side(heads.where(short & minor), "y"), "h").where(fits)
     return some.unionByName(more).select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row.
 
     Words are what blanks separate, A-Z lower-cased; a document's set holds its shingles of five words (a shorter
-    text is one). Documents whose sets have a Jaccard similarity of 0.85 or more are linked; component_id is the least
+    text is one). Documents whose sets have a Jaccard similarity of threshold or more are linked; component_id is the least
     id that links reach.
 
-    Equal sets collapse to one node first, by map-side combined minima. The forest: 128 minhashes of a node are 16
-    labels of 8; each label is a place in one of 16 sorted orders. Nodes that share the first 4 minhashes of a label
-    are a region of that order: a pair at 0.85 shares a region with probability 1 - 8e-6. Candidates are, first, the
+    Equal sets collapse to one node first, by map-side combined minima. The forest: a node has 128
+    minhashes, and each label of 8 of them is a place in one of the sorted orders. Nodes that share the first minhashes
+    of a label are a region of that order; limits() takes as many orders as a pair at the threshold needs to share a
+    region with probability 1 - 8e-6: at 0.85, 16 with regions of 4 minhashes, at 0.8, 23. Candidates are, first, the
     neighbours in each order, which have the longest common prefixes, so the depth adapts to how dense a region is.
     What 128 minhashes don't rule out is compared on the full sets, and components are taken. Second, the nodes of
     regions that still hold several components are the candidates for links between components; an exact prefix filter
@@ -151,6 +199,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     are one document and share its links; a null id counts as an id and is returned as null. Repeated rows stay. An
     empty table gives an empty result. Only the two named columns are read.
     """
+    at = limits(threshold)
     spark = docs.sparkSession
     ship(spark)
     made: list[str] = []
@@ -158,9 +207,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sketches = durable(given.mapInArrow(_sketch, "id long, n long, h1 long, h2 long, sig binary"), made)
     full = sketches.where("n > 0")
     nodes = durable(full.groupBy("h1", "h2", "n").agg(F.min("id").alias("node"), F.any_value("sig").alias("sig")), made)
-    size = 4 * DEPTH
-    label = lambda t: F.substring("sig", t * size + 1, size)
-    trees = F.explode(F.array(*[F.struct(F.xxhash64(F.lit(t), F.substring("sig", t * size + 1, 4 * LEAST)).alias("region"), label(t).alias("label")) for t in range(TREES)]))
+    label = lambda t, n: F.substring("sig", 4 * t * at.stride + 1, 4 * n)
+    trees = F.explode(F.array(*[F.struct(F.xxhash64(F.lit(t), label(t, at.least)).alias("region"), label(t, at.depth).alias("label")) for t in range(at.trees)]))
     forest = nodes.select("node", trees.alias("x")).select("node", "x.region", "x.label")
     shared = durable(forest.groupBy("region").agg(F.count("*").alias("c")).where("c > 1").select("region"), made)
     places = durable(forest.join(small(shared), "region").select("region", "node", "label"), made)
@@ -173,7 +221,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     ordered = places.repartitionByRange("region", "label", "node").sortWithinPartitions("region", "label", "node")
     pairs = durable(ordered.select("region", "node").mapInArrow(_neighbours, "a long, b long").distinct(), made)
-    links = _linked(pairs, sigs, sets)
+    links = _linked(pairs, sigs, sets, at)
     roots = components(links)
 
     placed = places.select("region", "node").join(roots, "node", "left").select("region", "node", F.coalesce("root", "node").alias("root"))
@@ -182,9 +230,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     mixed = per.groupBy("region").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1")
     mixed = durable(mixed.select("region", F.col("top.root").alias("top")), made)
     left = durable(placed.join(small(mixed), "region"), made)
-    cross = _crossing(left.select("node", "root").distinct(), sets)
+    cross = _crossing(left.select("node", "root").distinct(), sets, at)
     cross = durable(cross.join(pairs, ["a", "b"], "left_anti"), made)
-    more = _linked(cross, sigs, sets)
+    more = _linked(cross, sigs, sets, at)
     names = durable(components(links.unionByName(more)), made)
 
     owned = nodes.select("h1", "h2", "n", "node").join(names, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -200,8 +248,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.select(none("id").alias("id"), F.col("n").alias("n_shingles"), none("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each component left: the one of least id. Rows that repeat its id stay."""
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col).where(~F.col("kept")).select(F.col("id").alias("__id")).distinct()
+    gone = near_duplicates(docs, threshold, id_col=id_col, text_col=text_col).where(~F.col("kept")).select(F.col("id").alias("__id")).distinct()
     gone = durable(gone)
     return docs.join(small(gone), docs[id_col].eqNullSafe(F.col("__id")), "left_anti")

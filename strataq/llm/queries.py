@@ -18,7 +18,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), 0.85)
     return found.withColumnRenamed("id", "doc_id")
 
 
