@@ -35,7 +35,8 @@ class Limits:
     """What follows from a threshold: documents are linked if den * |intersection| >= num * |union|.
 
     Of the minhashes, tree t's label are depth from t * stride on; the first least of them are its region, and no two
-    regions share a minhash. Pairs of which fewer than agree minhashes agree are not compared.
+    regions share a minhash. Neighbours of which fewer than agree minhashes agree are
+    left to the exact join.
     """
 
     num: int
@@ -134,13 +135,20 @@ def _agreeing(agree: int):
     return run
 
 
-def _linked(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, at: Limits) -> DataFrame:
-    """Those pairs (a, b) that the whole shingle sets link."""
-    of = lambda df, end, col: df.select(F.col("node").alias(end), F.col(col).alias(f"{col}_{end}"), *([F.col("n").alias(f"n_{end}")] if col == "sig" else []))
-    both = pairs.join(of(sigs, "a", "sig"), "a").join(of(sigs, "b", "sig"), "b")
+def _end(df: DataFrame, end: str, col: str) -> DataFrame:
+    return df.select(F.col("node").alias(end), F.col(col).alias(f"{col}_{end}"), *([F.col("n").alias(f"n_{end}")] if col == "sig" else []))
+
+
+def _likely(pairs: DataFrame, sigs: DataFrame, at: Limits) -> DataFrame:
+    """Those pairs (a, b) that sizes and minhashes don't rule out."""
+    both = pairs.join(_end(sigs, "a", "sig"), "a").join(_end(sigs, "b", "sig"), "b")
     sizes = F.least("n_a", "n_b") * at.den >= F.greatest("n_a", "n_b") * at.num
-    near = durable(both.where(sizes).select("a", "b", "sig_a", "sig_b").mapInArrow(_agreeing(at.agree), "a long, b long"))
-    both = near.join(of(sets, "a", "shingles"), "a").join(of(sets, "b", "shingles"), "b")
+    return both.where(sizes).select("a", "b", "sig_a", "sig_b").mapInArrow(_agreeing(at.agree), "a long, b long")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, at: Limits) -> DataFrame:
+    """Those pairs (a, b) that the whole shingle sets link."""
+    both = pairs.join(_end(sets, "a", "shingles"), "a").join(_end(sets, "b", "shingles"), "b")
     shared = F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long")
     union = F.size("shingles_a") + F.size("shingles_b") - shared
     return durable(both.where(shared * at.den >= union * at.num).select("a", "b").distinct())
@@ -190,10 +198,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, *, id_col: st
     of a label are a region of that order; limits() takes as many orders as a pair at the threshold needs to share a
     region with probability 1 - 8e-6: at 0.85, 16 with regions of 4 minhashes, at 0.8, 23. Candidates are, first, the
     neighbours in each order, which have the longest common prefixes, so the depth adapts to how dense a region is.
-    What 128 minhashes don't rule out is compared on the full sets, and components are taken. Second, the nodes of
-    regions that still hold several components are the candidates for links between components; an exact prefix filter
-    leaves few pairs of them, so nothing is capped and no link is missed; a dense group of copies is one component by
-    then and gives no pairs. Orders are range-partitioned by label and node, which splits hot regions.
+    Those that 128 minhashes don't rule out are compared on the full sets, and components are taken. Second, the nodes
+    of regions that still hold several components are the candidates for links between components: an exact prefix
+    filter leaves few pairs of them, and each goes to the full sets, whatever its minhashes say. So a link is missed only
+    if its ends share no region of any order; nothing is capped. A dense group of copies is one component by then and
+    gives no pairs. Orders are range-partitioned by label and node, which splits hot regions.
 
     Nulls: a null or empty text, or one of blanks, has an empty set and is linked with nothing. Rows that share an id
     are one document and share its links; a null id counts as an id and is returned as null. Repeated rows stay. An
@@ -221,7 +230,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, *, id_col: st
 
     ordered = places.repartitionByRange("region", "label", "node").sortWithinPartitions("region", "label", "node")
     pairs = durable(ordered.select("region", "node").mapInArrow(_neighbours, "a long, b long").distinct(), made)
-    links = _linked(pairs, sigs, sets, at)
+    compared = durable(_likely(pairs, sigs, at), made)
+    links = _linked(compared, sets, at)
     roots = components(links)
 
     placed = places.select("region", "node").join(roots, "node", "left").select("region", "node", F.coalesce("root", "node").alias("root"))
@@ -231,8 +241,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, *, id_col: st
     mixed = durable(mixed.select("region", F.col("top.root").alias("top")), made)
     left = durable(placed.join(small(mixed), "region"), made)
     cross = _crossing(left.select("node", "root").distinct(), sets, at)
-    cross = durable(cross.join(pairs, ["a", "b"], "left_anti"), made)
-    more = _linked(cross, sigs, sets, at)
+    cross = durable(cross.join(compared, ["a", "b"], "left_anti"), made)
+    more = _linked(cross, sets, at)
     names = durable(components(links.unionByName(more)), made)
 
     owned = nodes.select("h1", "h2", "n", "node").join(names, "node", "left").withColumn("root", F.coalesce("root", "node"))
