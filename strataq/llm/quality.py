@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataq.llm.common import ship
+from strataq.llm.common import drop_tables, durable, ship
 from strataq.llm.tokens import TABLE, chunks, mix, run_hashes
 
 #: At most about so many labelled rows are fitted on, those of least hash; so the driver's share is bounded.
 TRAIN_ROWS = 6_000
-#: Of a training text, at most so many bytes are sent to the driver, from its middle. Scores use whole texts.
-TRAIN_BYTES = 16_384
+#: And on so many bytes of text together: rows are fewer if they are long, but whole. One of more than a quarter is passed over.
+TRAIN_BYTES = 1 << 25
 BITS = 20
 REPEAT = np.uint64(0xC2B2AE3D27D4EB4F)
 THRESHOLD = 0.5
@@ -65,18 +65,35 @@ class Model:
         return self.bias + (total[first[1:]] - total[first[:-1]]) / np.sqrt(np.maximum(n, 1))
 
 
-def fit(texts: list[str], labels: list[int], *, bits: int = BITS, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.05, l2: float = 0.1, rounds: int = 3) -> Model:
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, y) to (ids, n, y): the buckets of each whole text and how often it has them."""
+    for b in batches:
+        ids, counts = [], []
+        for _, _, data, offsets in chunks(b.column(0)):
+            f, first = features(data, offsets)
+            for i, j in zip(first[:-1], first[1:], strict=True):
+                k, n = np.unique(f[i:j], return_counts=True)
+                ids.append(k.astype(np.int32).tobytes())
+                counts.append(n.astype(np.int32).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(counts, pa.binary()), b.column(1)], names=["ids", "n", "y"])
+
+
+def fit(texts: list[str], labels: list[int], *, bits: int = BITS, **how) -> Model:
+    """fit_counts() of the texts' features."""
+    counted = []
+    for t in texts:
+        b = np.frombuffer(t.encode(), np.uint8)
+        counted.append(np.unique(features(b, np.array([0, len(b)]), bits)[0], return_counts=True))
+    return fit_counts(counted, labels, bits=bits, **how)
+
+
+def fit_counts(counted: list[tuple[np.ndarray, np.ndarray]], labels: list[int], *, bits: int = BITS, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.05, l2: float = 0.1, rounds: int = 3) -> Model:
     """FTRL-proximal, one text at a time; classes weigh alike. Without rows of both classes, the share of ones is the score."""
     y = np.array(labels, float)
     ones = y.mean() if len(y) else 0.5
     if not 0 < ones < 1:
         return Model(np.zeros(1 << bits, np.float32), float(np.log((ones + 0.01) / (1.01 - ones))), bits)
-    rows = []
-    for t in texts:
-        b = np.frombuffer(t.encode(), np.uint8)
-        f, _ = features(b, np.array([0, len(b)]), bits)
-        ids, n = np.unique(f, return_counts=True)
-        rows.append((ids, n / np.sqrt(max(len(f), 1))))
+    rows = [(ids, n / np.sqrt(max(n.sum(), 1))) for ids, n in counted]
     z, g2 = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
     last = 1 << bits  # the bias, without l1
 
@@ -102,19 +119,38 @@ def held_out(id_col: str = "doc_id") -> F.Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, most: int = TRAIN_BYTES) -> tuple[list[str], list[int]]:
-    """Texts and labels of about so many labelled rows that aren't held out, of least hash; bounded in rows and bytes."""
-    kept = labels.where(F.col(label).isin(0, 1) & ~held_out()).select("doc_id", F.col(label).alias("y")).distinct()
+def _sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, most: int, made: list[str]) -> DataFrame:
+    """(h, text, y): whole texts and labels of about so many labelled rows that aren't held out, of least hash h.
+
+    Together they have at most so many bytes: rows from some hash on are left out.
+    """
+    kept = labels.where(F.col(label).isin(0, 1) & ~held_out()).select("doc_id", F.col(label).cast("int").alias("y")).distinct()
     sample = kept.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)
-    n = F.char_length("text")
-    part = F.when(n <= most, F.col("text")).otherwise(F.substring("text", ((n - most) / 2).cast("int") + 1, F.lit(most)))
-    got = docs.join(F.broadcast(sample), "doc_id").select(part.alias("t"), "y").where("t IS NOT NULL").collect()
-    got.sort()
+    got = docs.join(F.broadcast(sample), "doc_id").select(F.xxhash64("doc_id").alias("h"), "text", "y")
+    got = durable(got.where(F.octet_length("text") <= most // 4), made)
+    sizes = got.groupBy("h").agg(F.sum(F.octet_length("text")).alias("n")).orderBy("h").collect()
+    total = np.cumsum([r.n for r in sizes])
+    over = int(np.searchsorted(total, most, "right"))
+    return got if over == len(sizes) else got.where(F.col("h") < sizes[over].h)
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, most: int = TRAIN_BYTES) -> tuple[list[str], list[int]]:
+    """Whole texts and labels of about so many labelled rows that aren't held out, of least hash; bounded in rows and bytes."""
+    made: list[str] = []
+    got = sorted(_sample(docs, labels, label, rows, most, made).select("text", "y").collect())
+    drop_tables(docs.sparkSession, made)
     return [r[0] for r in got], [r[1] for r in got]
 
 
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", rows: int = TRAIN_ROWS) -> Model:
-    return fit(*training_rows(docs, labels, label, rows))
+    """The features are counted on the executors, on whole texts; the driver gets the counts."""
+    spark = docs.sparkSession
+    ship(spark)
+    made: list[str] = []
+    sample = _sample(docs, labels, label, rows, TRAIN_BYTES, made).select("text", "y")
+    got = sorted(sample.mapInArrow(_counts, "ids binary, n binary, y int").collect())
+    drop_tables(spark, made)
+    return fit_counts([(np.frombuffer(r[0], np.int32), np.frombuffer(r[1], np.int32)) for r in got], [r[2] for r in got])
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", score_col: str = "score", keep: list[str] | None = None) -> DataFrame:

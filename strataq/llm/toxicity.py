@@ -19,6 +19,8 @@ TRAIN_ROWS = 4_000
 LANDMARKS = 256
 #: Training texts are read in pieces of about so many bytes.
 FIT_BYTES = 1 << 20
+#: Bytes of the training texts together, which the driver reads whole.
+TRAIN_BYTES = 1 << 24
 THRESHOLD = 0.7
 #: Two neighbours of a subsequence are at most so many letters apart, whatever else lies between them.
 REACH = 2
@@ -393,4 +395,4 @@ def fit(texts: list[str], labels: list[int], *, landmarks: int = LANDMARKS, nega
 
 
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
-    return fit(*training_rows(docs, labels, label, rows))
+    return fit(*training_rows(docs, labels, label, rows, TRAIN_BYTES))
