@@ -1,4 +1,4 @@
-"""Substring deduplication by relative Lempel-Ziv parsing against a reference that is the whole corpus, in blocks."""
+"""Substring deduplication by matching hashed windows of words against the whole corpus, in blocks by minimizer."""
 
 from __future__ import annotations
 
@@ -161,7 +161,7 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _factors(runs: list[dict], least: int) -> list[tuple[int, int, int | None, int]]:
-    """Greedy factors (start, words, ref, at): runs that go on where another ends, on both sides, are one factor."""
+    """Factors (start, words, ref, at), glued after matching: runs that go on where another ends, on both sides, are one factor."""
     out: list[list] = []
     for r in sorted(runs, key=lambda r: (r["pos"], r["n"])):
         ref = None if r["ref"] == _NULL_ID else r["ref"]
@@ -200,14 +200,14 @@ def _apply(least: int):
 def drop_repeats(docs: DataFrame, least: int = LEAST, *, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256, kept_text, factors) for each row; texts=False leaves kept_text out.
 
-    Words are what blanks separate. Each document is factored greedily against all that starts before it, by (id,
-    position): a factor (start, words, ref, at) goes on as long as its windows of least words have their first
-    occurrence at consecutive places of one earlier document. Where a factor ends, the windows over its end are looked
-    up on their own, so no repeat is lost between two factors. Words in factors are removed; what is earlier is judged
+    Words are what blanks separate. Each window of least words is looked up by its hash among all that start
+    before it, by (id, position); there is no greedy parse. Windows that have their first occurrence at consecutive
+    places of one document are then glued to a factor (start, words, ref, at). As every window is looked up on its own,
+    those over the end of a factor too, no repeat is lost between two factors. Words in factors are removed; what is earlier is judged
     on the input. kept_text has the other words, joined by one space.
 
     The reference is the corpus itself, indexed in blocks by seed: the least hash of the five-word runs in a window,
-    which equal windows share. A document is matched against just the blocks that its own seeds name, and those are all
+    which equal windows share. A document is looked up in just the blocks that its own seeds name, and those are all
     blocks that could hold its windows. Runs of windows with one seed are one row. Windows that repeat within a
     chunk of input are resolved there and only their first goes on, so of a passage that a third of all documents
     share, a block gets a row per chunk; a block is read as a sorted stream and holds the different windows of one seed.
