@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strataq.functions import regex
 from strataq.plans.ast import Binary, Call, Case, Cast, Col, Lit, Negate, Node
 from strataq.plans.errors import QueryError
 from strataq.plans.resolve import column_at, resolve
@@ -158,38 +159,13 @@ def regexp_replace(v: Value, pattern: str, replacement: str, options: str = "")
     """The first match only, or all with option g. Groups in the replacement are written \\1."""
     if v.lane != "string":
         raise QueryError("TypeMismatch", "regexp_replace takes a string")
-    if set(options) - set("gicsmnpl"):
-        raise QueryError("BadRegexOption", options)
-    import re
-
-    if "l" in options:
-        pattern = re.escape(pattern)
-    elif m := re.search(r"\\[pPCQE]|\\[1-9]|\(\?[=!<]", pattern):
-        raise QueryError("UnsupportedRegex", f"{m[0]} is not supported")
-    try:
-        groups = re.compile(pattern).groups
-    except re.error as e:
-        raise QueryError("BadRegex", str(e)) from e
-    every = "g" in options
-    parts: list[int | str] = [] if every else [1]
-    i = 0
-    while i < len(replacement):
-        c = replacement[i]
-        if c == "\\" and i + 1 < len(replacement):
-            i += 1
-            c = replacement[i]
-            if c.isdigit() and int(c) > groups:
-                raise QueryError("BadRegex", f"no group {c}")
-            # unless all matches are replaced, groups 1 and 2 are what comes before the match and the match
-            parts.append(c if not c.isdigit() else int(c) if every else int(c) + 2)
-        else:
-            parts.append(c)
-        i += 1
-    flags = "".join(f for f in "is" if f in options)
-    own = f"(?{flags}:{pattern})" if flags else f"(?:{pattern})"
-    if not every:
-        parts.append(groups + 3)
+    how = regex.options(options)
+    own, groups = regex.to_java(pattern, how)
+    parts = regex.pieces(replacement, groups)
+    if not how.every:
+        # groups 1 and 2 are what comes before the match and the match, the last what comes after
         own = f"(?s:\\A(.*?))({own})(?s:(.*))\\z"
+        parts = [1, *(x + 2 if isinstance(x, int) else x for x in parts), groups + 3]
     out = ""
     for before, x in zip([None, *parts], parts, strict=False):
         if isinstance(x, int):
