@@ -7,6 +7,7 @@ import json
 import os
 import sys
 import time
+from contextlib import contextmanager
 
 from strataq.plans.errors import DataError, QueryError
 
@@ -21,10 +22,12 @@ def _parser() -> argparse.ArgumentParser:
     q.add_argument("--output", "-o")
     q.add_argument("--limit", type=int)
     q.add_argument("--threads", "-j", type=int)
+    q.add_argument("--row-group-size", type=int)
+    q.add_argument("--compress-priority", choices=("size", "speed"))
     q.add_argument("--parquet-version", choices=("v1", "v2"))
     q.add_argument("--bloom-filter", action="append", default=[])
     q.add_argument("--summary", choices=("json",))
-    for name in ("scan-all", "trust-stats", "fast-levels", "unordered", "cache", "no-bloom-filters", "explain", "fsync", "no-fsync"):
+    for name in ("scan-all", "trust-stats", "fast-levels", "unordered", "cache", "no-bloom-filters", "explain", "fsync", "no-fsync", "single-file"):
         q.add_argument(f"--{name}", action="store_true")
     sub.add_parser("schema").add_argument("path")
     i = sub.add_parser("inspect")
@@ -53,17 +56,53 @@ def _session(a: argparse.Namespace):
         b = b.master(f"local[{getattr(a, 'threads', None) or '*'}]").config("spark.sql.shuffle.partitions", "16")
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    if getattr(a, "scan_all", False):
-        spark.conf.set("spark.sql.parquet.filterPushdown", "false")
-    if getattr(a, "trust_stats", False):
-        spark.conf.set("spark.sql.parquet.aggregatePushdown", "true")
     return spark
 
 
+@contextmanager
+def _settings(spark, a: argparse.Namespace, kind: str):
+    """What --scan-all and --trust-stats set for one query.
+
+    Spark answers from statistics in its second reader only, which knows no places of rows; so only for one-row answers.
+    """
+    wanted = {}
+    if a.scan_all:
+        wanted |= {"spark.sql.parquet.filterPushdown": "false"}
+    elif a.trust_stats and kind == "scalar":
+        wanted |= {"spark.sql.parquet.aggregatePushdown": "true", "spark.sql.sources.useV1SourceList": "avro,csv,json,kafka,orc,text"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def _scanned(spark, most: int) -> int:
+    """Rows that the last run's scans gave: those of the row groups that statistics did not rule out."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    n = store.executionsCount()
+    if not n:
+        return most
+    last = store.executionsList(int(n) - 1, 1).head().executionId()
+    values, nodes = store.executionMetrics(last), store.planGraph(last).allNodes()
+    total, known = 0, False
+    for i in range(nodes.size()):
+        node = nodes.apply(i)
+        if not node.name().startswith("Scan parquet"):
+            continue
+        for k in range(node.metrics().size()):
+            m = node.metrics().apply(k)
+            if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                total, known = total + int(values.apply(m.accumulatorId()).replace(",", "")), True
+    return min(total, most) if known else most
+
+
 def _query(a: argparse.Namespace) -> int:
     from strataq.api import Engine, build
-    from strataq.operators.query import execute
-    from strataq.plans.ast import Agg, Item, Query
     from strataq.plans.parser import parse_sql
     from strataq.sources import sinks
 
@@ -94,15 +133,30 @@ def _query(a: argparse.Namespace) -> int:
         raise QueryError("OutputNeeded", "Parquet goes to a file: -o FILE")
     spark = _session(a)
     engine = Engine(spark)
+    with _settings(spark, a, q.kind):
+        return _answer(a, spark, engine, q, source, form, named, began)
+
+
+def _answer(a: argparse.Namespace, spark, engine, q, source, form: str, named: bool, began: float) -> int:
+    from strataq.plans.ast import Agg, Item, Query
+    from strataq.sources import sinks
+
+    source = source if source is not None else q.source
+    files = engine.files(source)
     df = engine.run(q, source, ordered=not a.unordered, copy=form == "parquet")
     if a.explain:
         print(json.dumps({"kind": q.kind, "columns": df.columns, "plan": df._jdf.queryExecution().toString()}))
         return 0
-    rows = None
+    rows = 0
     if form == "parquet":
         bloom = {c: float(p or 0.01) for c, _, p in (b.partition(":") for b in a.bloom_filter)}
-        sinks.write_parquet(df, a.output, codec=a.codec or "snappy", single=True, bloom=bloom, row_group_bytes=size(a.row_group_bytes) if a.row_group_bytes else None, version=a.parquet_version, narrow=q.kind != "rows")
+        level = {"size": 3, "speed": 1, None: None}[a.compress_priority]
+        sinks.write_parquet(
+            df, a.output, codec=a.codec or "snappy", single=a.single_file, bloom=bloom, row_group_bytes=size(a.row_group_bytes) if a.row_group_bytes else None,
+            row_group_rows=a.row_group_size, version=a.parquet_version, level=level, narrow=q.kind != "rows", inputs=[f.path for f in files],
+        )
     elif named:
+        sinks.refuse_alias(a.output, [f.path for f in files])
         temp = f"{a.output}.strataq-{os.getpid()}"
         try:
             with open(temp, "w", encoding="utf-8", newline="") as f:
@@ -115,14 +169,19 @@ def _query(a: argparse.Namespace) -> int:
         rows = sinks.write_text(df, form, sys.stdout)
         sys.stdout.flush()
     if a.summary:
+        rows_in = sum(f.rows for f in files)
+        scanned = _scanned(spark, rows_in)
         if form == "parquet":
-            rows = spark.read.parquet(a.output).count()
+            rows = sum(f.rows for f in engine.files(a.output))
         elif form != "ndjson":
-            rows = rows - (1 if form == "csv" else 2)
-        whole, _ = engine._open(source if source is not None else q.source, False)
-        rows_in = whole.count()
-        matched = rows_in if q.where is None else execute(whole, Query(items=[Item(Agg("count", None), "n")], where=q.where)).first()[0]
-        out = {"type": "summary", "ok": True, "rows": rows, "rows_in": rows_in, "rows_scanned": rows_in, "rows_matched": matched, "output": a.output if named else None, "codec": (a.codec or "snappy").upper() if form == "parquet" else None, "total_ms": int((time.monotonic() - began) * 1000)}
+            rows -= 1 if form == "csv" else 2
+        if q.where is None:
+            kept = scanned
+        elif q.kind == "rows" and q.limit is None and not q.offset:
+            kept = rows
+        else:  # one more pass, over the columns of the filter alone
+            kept = engine.run(Query(items=[Item(Agg("count", None), "n")], where=q.where), source).first()[0]
+        out = {"type": "summary", "ok": True, "rows": rows, "rows_in": rows_in, "rows_scanned": max(scanned, kept), "rows_matched": kept, "output": a.output if named else None, "codec": (a.codec or "snappy").upper() if form == "parquet" else None, "total_ms": int((time.monotonic() - began) * 1000)}
         print(json.dumps(out), file=sys.stderr)
     return 0
 
@@ -137,10 +196,10 @@ def main(argv: list[str] | None = None) -> int:
             return _query(a)
         from strataq.sources import inspect
 
+        spark = _session(a)
         if a.command == "inspect":
-            print(json.dumps([inspect.inspect(p, detail=a.detail) for p in a.paths], default=str))
+            print(json.dumps([inspect.inspect(spark, p, detail=a.detail) for p in a.paths], default=str))
             return 0
-        spark = _session(a)
         if a.command == "schema":
             print(inspect.schema(spark, a.path), end="")
             return 0

@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataq.operators.query import execute
-from strataq.plans.ast import Agg, Col, Item, Query
-from strataq.plans.errors import QueryError
+from strataq.operators.query import ORDINAL, execute, needs_place
+from strataq.plans.ast import Agg, Col, Item, Lit, Query
+from strataq.plans.errors import DataError, QueryError
 from strataq.plans.parser import parse_items, parse_predicate, parse_sql
 from strataq.sources import parquet, sinks
 
@@ -56,25 +56,52 @@ class Engine:
         self.spark = spark
         self.tables = dict(tables or {})
 
-    def _open(self, source: str | list[str] | DataFrame, exact: bool) -> tuple[DataFrame, list[str]]:
+    def _open(self, source: str | list[str] | DataFrame, exact: bool) -> tuple[DataFrame, list[parquet.File]]:
         if isinstance(source, str) and source in self.tables:
             source = self.tables[source]
         if isinstance(source, DataFrame):
             return source, []
         inputs = [source] if isinstance(source, str) else list(source)
-        paths = parquet.expand(self.spark, inputs)
-        return parquet.open_table(self.spark, paths, exact=exact), paths
+        schema, files = parquet.opened(self.spark, parquet.expand(self.spark, inputs), exact)
+        return parquet.read_files(self.spark, schema, files), files
+
+    def files(self, source: str | list[str] | DataFrame) -> list[parquet.File]:
+        """The files of an input with what their footers say; none for a DataFrame."""
+        return self._open(source, False)[1]
 
     def run(self, q: Query, source: str | list[str] | DataFrame | None = None, *, ordered: bool = False, copy: bool = False) -> DataFrame:
         """The answer as a DataFrame. ordered: rows in input order, groups by first appearance, also without a LIMIT."""
         source = source if source is not None else q.source
         if source is None:
             raise QueryError("NoInput", "no input was named")
-        df, paths = self._open(source, q.kind == "rows")
-        place = None
-        if paths and (ordered or q.limit is not None or q.offset):
-            place = parquet.ordinal(df, paths)
-        return execute(df, q, ordinal=place, ordered=ordered, copy=copy)
+        df, files = self._open(source, q.kind == "rows")
+        if not files or not needs_place(q, ordered):
+            return execute(df, q, ordered=ordered, copy=copy)
+        most = None
+        if q.kind == "rows" and q.limit is not None and not q.order:
+            files, most = self._needed(df, q, files)
+            df = parquet.read_files(self.spark, df.schema, files)
+        df = parquet.with_ordinal(self.spark, df, files, ORDINAL)
+        place = F.col(ORDINAL)
+        return execute(df if most is None else df.where(place < most), q, ordinal=place, ordered=ordered, copy=copy)
+
+    def _needed(self, df: DataFrame, q: Query, files: list[parquet.File]) -> tuple[list[parquet.File], int | None]:
+        """The first files that hold the rows of a LIMIT without an order, and the place where those rows end.
+
+        Footers tell without a filter. With one, the first file, the first two, four, ... are tried until they fill the
+        limit, so files far behind the last row wanted are never read.
+        """
+        rows = q.limit + (q.offset or 0)
+        if q.where is None:
+            some = parquet.first_files(files, rows)
+            return some, parquet.place_after(some, rows)
+        n = 1
+        while n < len(files):
+            part = parquet.read_files(self.spark, df.schema, files[:n])
+            if execute(part, Query(items=[Item(Lit(1), "n")], where=q.where)).limit(rows).count() >= rows:
+                return files[:n], None
+            n *= 2
+        return files, None
 
     def sql(self, text: str, *, ordered: bool = False) -> DataFrame:
         return self.run(parse_sql(text), ordered=ordered)
@@ -121,6 +148,21 @@ class Engine:
         q.group = [Item(g.expr) for g in q.group]
         return self.run(q, source)
 
+    def merge_responses(self, responses: list[dict[str, Any]], aggregate: str, group_by: str | None = None, *, schema: T.StructType) -> DataFrame:
+        """The whole answer from the answers to partial_aggregate requests; all must be of this plan and of one schema.
+
+        schema: of a partial answer, as partial() has it; rows come as JSON.
+        """
+        plan = self.prepare(aggregate, group_by)
+        first = responses[0]
+        for r in responses:
+            if not r.get("ok"):
+                raise DataError(r.get("error", "PartialFailed"), r.get("message", ""))
+            if r["plan_digest"] != plan["plan_digest"] or r["schema_fingerprint"] != first["schema_fingerprint"]:
+                raise QueryError("PartialMismatch", "answers of another plan or schema")
+        rows = [sinks.from_json(x, schema) for r in responses for x in r["rows"]]
+        return self.merge([self.spark.createDataFrame(rows, schema)], aggregate, group_by)
+
     def merge(self, partials: list[DataFrame], aggregate: str, group_by: str | None = None) -> DataFrame:
         """The whole answer from partial answers."""
         plan = self.prepare(aggregate, group_by)
@@ -168,8 +210,12 @@ class Engine:
             if {"sql", "select", "columns", "column_order", "output_url"} & (set(r) | set(p)):
                 raise QueryError("BadFieldType", "a partial aggregate takes inputs, aggregate, group_by and filter")
             source = parquet.open_slices(self.spark, p["inputs"], p["row_groups"]) if p.get("row_groups") else p["inputs"]
+            plan, print_ = self.prepare(p["aggregate"], p.get("group_by")), self.schema_fingerprint(p["inputs"])
+            for name, own in (("plan_version", plan["plan_version"]), ("plan_digest", plan["plan_digest"]), ("schema_fingerprint", print_)):
+                if p.get(name, own) != own:
+                    raise QueryError("PartialMismatch", f"{name} is {own} here, not {p[name]}")
             df = self.partial(source, p["aggregate"], p.get("group_by"), p.get("filter"))
-            return self.prepare(p["aggregate"], p.get("group_by")) | {"partial_version": 1, "schema_fingerprint": self.schema_fingerprint(p["inputs"]), "rows": self._rows(df)}
+            return plan | {"partial_version": 1, "schema_fingerprint": print_, "rows": self._rows(df)}
         if op is not None:
             raise QueryError("UnknownOperation", str(op))
         if "sql" in r:
@@ -189,7 +235,7 @@ class Engine:
         if "output_url" in r:
             codec = r.get("output_codec", "snappy")
             bloom = {c: float(p or 0.01) for c, _, p in (b.partition(":") for b in r.get("bloom_filters", []))}
-            sinks.write_parquet(df, r["output_url"], codec=codec if codec in sinks.CODECS else "snappy", bloom=bloom, narrow=True)
+            sinks.write_parquet(df, r["output_url"], codec=codec if codec in sinks.CODECS else "snappy", bloom=bloom, narrow=True, inputs=df.inputFiles())
             return {"output": r["output_url"]}
         return {"rows": self._rows(df)}
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from contextlib import contextmanager
 from dataclasses import dataclass
 
@@ -17,18 +18,23 @@ from strataq.plans.errors import QueryError
 from strataq.plans.resolve import column_at, resolve
 
 ORDINAL = "__ordinal"
+_BUILDING = threading.RLock()
 
 
 @contextmanager
 def exact_decimals(df: DataFrame):
-    """Decimal results keep their scale while expressions are built; the session's setting comes back after."""
+    """Decimal results keep their scale while expressions are built; the session's setting comes back after.
+
+    One thread at a time: the setting is the session's.
+    """
     conf, key = df.sparkSession.conf, "spark.sql.decimalOperations.allowPrecisionLoss"
-    before = conf.get(key)
-    conf.set(key, "false")
-    try:
-        yield
-    finally:
-        conf.set(key, before)
+    with _BUILDING:
+        before = conf.get(key)
+        conf.set(key, "false")
+        try:
+            yield
+        finally:
+            conf.set(key, before)
 
 
 @dataclass
@@ -104,6 +110,16 @@ def _cut(df: DataFrame, q: Query) -> DataFrame:
     return df if q.limit is None else df.limit(q.limit)
 
 
+def needs_place(q: Query, ordered: bool) -> bool:
+    """Whether the answer depends on where rows are in the input."""
+    cut = q.limit is not None or bool(q.offset)
+    if q.limit == 0:
+        return False
+    if q.kind == "rows":
+        return ordered or cut
+    return bool(q.group) and (ordered or (cut and not q.order))
+
+
 def refuse_repeated(t: T.DataType, name: str) -> None:
     if isinstance(t, T.ArrayType | T.MapType):
         raise QueryError("RepeatedColumn", f"{name} is a LIST or MAP")
@@ -157,8 +173,6 @@ def _rows(df: DataFrame, q: Query, ordinal: Column | None, ordered: bool, copy:
         at = _positional(o.expr, outputs) or _by_alias(o.expr, outputs, schema, column_first=True)
         c = next(c for x, c in made if x is at) if at else binder.value(o.expr).column
         keys.append((c, o.descending))
-    if ordinal is None and (q.limit is not None or q.offset) and not keys:
-        ordinal = None
     if keys or ((ordered or q.limit is not None or q.offset) and ordinal is not None):
         rows = _sorted(rows, keys, ordinal)
     return _cut(rows, q).select(*[c.alias(o.name) for o, c in made])
@@ -292,4 +306,4 @@ def _grouped(df: DataFrame, q: Query, ordinal: Column | None, ordered: bool) ->
     return out
 
 
-__all__ = ["ORDINAL", "Order", "execute", "exact_decimals"]
+__all__ = ["ORDINAL", "Order", "execute", "exact_decimals", "needs_place"]
