@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataq import catalog_io
 from strataq.api import Engine
 from strataq.functions.values import DATE_PARTS
+from strataq.sources.sinks import flat, write_parquet
 
 FLAGSHIP = "tpch_q1"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -37,7 +39,7 @@ SQL: dict[str, tuple[str, str | None]] = {
     "filter_in_not_in": ("SELECT c_custkey FROM customer WHERE c_nationkey IN (1, 3, 5, 7) AND c_mktsegment NOT IN ('BUILDING', 'MACHINERY')", None),
     "filter_in_null": ("SELECT count(*) AS n FROM customer WHERE c_nationkey NOT IN (1, NULL)", None),
     "filter_between": ("SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 20 AND p_retailprice NOT BETWEEN 1000 AND 1500", None),
-    "filter_like_prefix": ("SELECT p_partkey FROM part WHERE p_name LIKE 'a%'", None),
+    "filter_like_prefix": ("SELECT p_partkey FROM part WHERE p_name LIKE 'small%'", None),
     "filter_like_suffix": ("SELECT p_partkey FROM part WHERE p_type LIKE '%L'", None),
     "filter_like_contains": ("SELECT page_id FROM pages WHERE url LIKE '%com%'", None),
     "filter_like_underscore": ("SELECT p_partkey FROM part WHERE p_brand LIKE 'Brand#_2' OR p_brand NOT LIKE '%1_'", None),
@@ -82,13 +84,16 @@ SQL: dict[str, tuple[str, str | None]] = {
     "fn_regexp_replace": ("SELECT regexp_replace(url, '^https?://(?:www\\.)?([^/]+)/.*$', '\\1') AS host, count(*) AS n, min(url) AS first FROM pages GROUP BY 1", None),
     "fn_regexp_first": ("SELECT page_id, regexp_replace(url, '[aeiou]', '<\\0>') AS u FROM pages", None),
     "fn_regexp_global": ("SELECT page_id, regexp_replace(url, '([a-z])([0-9])', '\\2$\\1', 'g') AS u FROM pages", None),
+    "fn_regexp_options": ("SELECT page_id, regexp_replace(url, 'HTTP', 'x', 'ic') AS a, regexp_replace(url, 'HTTP', 'x', 'ci') AS b, regexp_replace(url, 'S?://', '\\\\', 'i g') AS c, regexp_replace(url, '.', '-', 'l') AS d FROM pages", None),
+    "fn_regexp_lines": ("SELECT doc_id, strlen(regexp_replace(text, '^.*$', '', 's')) AS a, strlen(regexp_replace(text, '.+', '')) AS b, strlen(regexp_replace(text, '.+', '', 'sm')) AS c, strlen(regexp_replace(text, '[a-z.]$', 'xyz')) AS d, strlen(regexp_replace(text, '(?m)[a-z.]$', '!!', 'g')) AS e, strlen(regexp_replace(text, '(?m)^', '> ', 'g')) AS f FROM documents", None),
+    "fn_regexp_classes": ("SELECT page_id, regexp_replace(url, '[[:punct:]]+', '_', 'g') AS a, regexp_replace(url, '[[:^alpha:]&&]', '', 'g') AS b, regexp_replace(url, '(?P<one>[a-z]+)(?:[^a-z]{1,2})', '[\\1]', 'g') AS c, regexp_replace(url, '(?i:HTTPS?)://', '') AS d, regexp_replace(url, '\\x2f', '|', 'g') AS e FROM pages", None),
     "fn_cast_text": ("SELECT c_custkey, CAST(c_name AS VARCHAR) AS name FROM customer", None),
     "decimal_literals": ("SELECT o_orderkey, 0.05 * 1.10 AS a, 1.25 + 0.5 AS b, 7 / 2 AS c FROM orders", "SELECT o_orderkey, CAST(0.0550 AS DECIMAL(6,4)) AS a, CAST(1.75 AS DECIMAL(4,2)) AS b, 7 // 2 AS c FROM orders"),
     "int_div": ("SELECT l_orderkey, l_partkey, l_linenumber, l_partkey / l_linenumber AS q, -l_partkey / 7 AS r FROM lineitem", "SELECT l_orderkey, l_partkey, l_linenumber, l_partkey // l_linenumber AS q, (-l_partkey) // 7 AS r FROM lineitem"),
     "case_in_sum": ("SELECT o_orderpriority, sum(CASE WHEN o_orderstatus IN ('F', 'O') THEN 1 ELSE 0 END) AS done FROM orders GROUP BY o_orderpriority", "SELECT o_orderpriority, CAST(sum(CASE WHEN o_orderstatus IN ('F', 'O') THEN 1 ELSE 0 END) AS DECIMAL(38,0)) AS done FROM orders GROUP BY o_orderpriority"),
     "events_per_hour": ("SELECT date_trunc('hour', ts) AS h, event_type, count(*) AS n, avg(value) AS a FROM events GROUP BY 1, 2", None),
 }
-for _p in ("minute", "day", "week", "quarter", "year"):
+for _p in ("microsecond", "millisecond", "second", "minute", "day", "week", "quarter", "year"):
     SQL[f"fn_date_trunc_{_p}"] = (f"SELECT event_id, date_trunc('{_p}', ts) AS t FROM events", f"SELECT event_id, CAST(date_trunc('{_p}', ts) AS TIMESTAMP) AS t FROM events")
 for _p in DATE_PARTS:
     SQL[f"fn_date_part_{_p}"] = (f"SELECT event_id, extract({_p} FROM ts) AS v FROM events", f"SELECT event_id, CAST(floor(date_part('{_p}', ts)) AS BIGINT) AS v FROM events")
@@ -105,8 +110,6 @@ def agg_decimal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def agg_avg_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from strataq.sources.sinks import flat
-
     return flat(engine(spark, sf_dir).sql("SELECT event_type, avg_state(value) AS st FROM events GROUP BY event_type"))
 
 
@@ -125,27 +128,38 @@ def parts_of_a_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parquet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A filtered copy written as Parquet and read again."""
-    import uuid
-
-    from strataq.sources.sinks import write_parquet
-
-    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
-    path = f"{base}/strataq-roundtrip-{uuid.uuid4().hex}"
+    path = catalog_io.scratch(spark)
     write_parquet(engine(spark, sf_dir).query("customer", filter="c_acctbal > 0", copy=True), path, codec="zstd", bloom={"c_custkey": 0.01})
     return Engine(spark).query(path, select="c_custkey, c_name, c_acctbal * 2 AS twice")
 
 
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An extension: counts and sums by window of time over a stream of files, each window final once the watermark passes it."""
+    from strataq.streaming import stream_windows as windows
+
+    path, out = catalog_io.scratch(spark), catalog_io.scratch(spark)
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    # a last row far ahead moves the watermark past all others; it belongs to no finished window itself
+    last = rows.agg(F.max("event_id").alias("event_id"), (F.max("ts") + F.expr("INTERVAL 9 DAYS")).cast("timestamp_ntz").alias("ts"))
+    rows.unionByName(last, allowMissingColumns=True).orderBy("ts").write.parquet(path)
+    df = windows(spark, path, rows.schema, "ts", "6 hours", "1 day", keys=["event_type"], sums=["value"])
+    q = df.writeStream.outputMode("append").option("checkpointLocation", f"{out}/state").format("parquet").option("path", f"{out}/rows").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{out}/rows")
+
+
 OTHERS = {
     agg_decimal: "SELECT l_returnflag, sum(p) AS s, CAST(round(CAST(sum(p) AS DECIMAL(30,2)) * 1.0000000000 / count(p), 6) AS DECIMAL(19,6)) AS a, CAST(sum(p * (1 - d)) AS DECIMAL(38,4)) AS disc, min(p) AS lo, CAST(max(p + d) AS DECIMAL(16,2)) AS hi FROM (SELECT l_returnflag, CAST(l_extendedprice AS DECIMAL(15,2)) AS p, CAST(l_discount AS DECIMAL(15,2)) AS d FROM lineitem) GROUP BY l_returnflag",
     agg_avg_state: "SELECT event_type, sum(value) AS st__sum, count(value) AS st__count FROM events GROUP BY event_type",
     partial_merge: "SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS q, abs(min(l_tax)) AS lo, max(l_shipdate) AS hi, avg(l_extendedprice) AS mean FROM lineitem GROUP BY l_returnflag",
     parts_of_a_query: "SELECT max(o_orderdate) AS last, o_orderstatus AS status, count(*) AS n FROM orders WHERE o_totalprice > 1000 GROUP BY o_orderstatus",
     parquet_roundtrip: "SELECT c_custkey, c_name, c_acctbal * 2 AS twice FROM customer WHERE c_acctbal > 0",
+    stream_windows: "SELECT time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n, sum(value) AS value FROM events GROUP BY 1, 2",
 }
 
 
 def queries() -> dict:
-    return {k: _sql(ours) for k, (ours, _) in SQL.items()} | {f.__name__: f for f in OTHERS}
+    return {k: _sql(ours) for k, (ours, _) in SQL.items()} | {f.__name__: f for f in OTHERS} | catalog_io.queries()
 
 
 def oracle_sql() -> dict[str, str]:
@@ -155,4 +169,4 @@ def oracle_sql() -> dict[str, str]:
         if "file_row" in text:  # the order of rows in the file, as DuckDB numbers them
             text = text.replace("FROM orders", "FROM (SELECT *, row_number() OVER () AS file_row FROM orders)")
         out[k] = text
-    return out | {f.__name__: sql for f, sql in OTHERS.items()}
+    return out | {f.__name__: sql for f, sql in OTHERS.items()} | catalog_io.oracle_sql()
