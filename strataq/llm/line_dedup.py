@@ -19,11 +19,11 @@ def _lines(text: Column) -> Column:
 def line_keep_bitmaps(
     docs: DataFrame, min_docs: int = MIN_DOCS, min_key: int = 1, *, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """The positions of lines to drop, for the documents that lose any: (id, fp, drops), drops sorted.
+    """Which lines to keep, for the documents that lose any: (id, fp, n_lines, keep), keep a run-length bitmap.
 
     A line's key is the line without blanks at both ends, A-Z lower-cased. Keys of at least min_key code points that
     min_docs or more documents hold lose all their lines; with keep_first, all but the first in the order of documents
-    (keys of two documents or more then need min_docs=2). keep_bitmap() makes run-length bitmaps of the drops.
+    (keys of two documents or more then need min_docs=2). apply_bitmaps() makes texts of the bitmaps.
 
     96-bit hashes of keys are range-partitioned by (hash, document), so the documents of one hot line lie in many
     tasks, and sorted there by document and position; what streams out is a row for each hash and document with the
@@ -35,20 +35,22 @@ def line_keep_bitmaps(
     """
     made: list[str] = []
     mine = [F.col(id_col).alias("id"), F.hash(text_col).alias("fp")]
-    raw = docs.select(*mine, F.posexplode(_lines(F.col(text_col))).alias("pos", "line"))
+    lines = _lines(F.col(text_col))
+    raw = docs.select(*mine, F.size(lines).alias("n_lines"), F.posexplode(lines).alias("pos", "line"))
     key = ascii_lower(F.trim(F.col("line"), F.lit(BLANKS)))
-    keyed = raw.select("id", "fp", "pos", key.alias("key")).where(F.char_length("key") >= max(min_key, 1))
-    occ = durable(keyed.select(F.xxhash64("key").alias("h1"), F.hash("key").alias("h2"), "id", "fp", "pos"), made)
+    keyed = raw.select("id", "fp", "n_lines", "pos", key.alias("key")).where(F.char_length("key") >= max(min_key, 1))
+    occ = durable(keyed.select(F.xxhash64("key").alias("h1"), F.hash("key").alias("h2"), "id", "fp", "n_lines", "pos"), made)
     by = ["h1", "h2", "id", "fp"]
     ordered = occ.repartitionByRange(*by).sortWithinPartitions(*by, "pos")
-    per = durable(ordered.groupBy(*by).agg(F.collect_set("pos").alias("pos")))
+    per = durable(ordered.groupBy(*by).agg(F.collect_set("pos").alias("pos"), F.max("n_lines").alias("n_lines")))
     drop_tables(docs.sparkSession, made)
     hot = per.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("id", "fp")).alias("first")).where(F.col("n") >= min_docs)
     hit = per.join(small(durable(hot)), ["h1", "h2"])
     if keep_first:
         here = F.struct("id", "fp").eqNullSafe(F.col("first"))
         hit = hit.withColumn("pos", F.when(here, F.array_remove("pos", F.array_min("pos"))).otherwise(F.col("pos")))
-    return hit.groupBy("id", "fp").agg(F.array_sort(F.flatten(F.collect_list("pos"))).alias("drops")).where(F.size("drops") > 0)
+    drops = hit.groupBy("id", "fp").agg(F.max("n_lines").alias("n_lines"), F.array_sort(F.flatten(F.collect_list("pos"))).alias("drops"))
+    return drops.where(F.size("drops") > 0).select("id", "fp", "n_lines", keep_bitmap(F.col("drops"), F.col("n_lines")).alias("keep"))
 
 
 def keep_bitmap(drops: Column, n_lines: Column) -> Column:
@@ -60,15 +62,21 @@ def keep_bitmap(drops: Column, n_lines: Column) -> Column:
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with n_lines, n_dropped, keep and kept_text; columns of these names are replaced, others pass."""
-    rows = docs.drop("n_lines", "n_dropped", "keep", "kept_text").withColumn("__fp", F.hash(text_col))
-    on = rows[id_col].eqNullSafe(bitmaps["id"]) & (rows["__fp"] == bitmaps["fp"])
-    both = rows.join(bitmaps, on, "left").drop("id", "fp", "__fp") if id_col != "id" else rows.join(bitmaps.withColumnRenamed("id", "__id"), rows["id"].eqNullSafe(F.col("__id")) & (rows["__fp"] == F.col("fp")), "left").drop("__id", "fp", "__fp")
-    lines = _lines(F.col(text_col))
-    kept = F.flatten(F.transform("keep", lambda r: F.slice(lines, r["start"] + 1, r["len"])))
-    text = F.when(F.col("drops").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(kept, "\n"))
-    out = both.withColumn("n_lines", F.size(lines)).withColumn("n_dropped", F.coalesce(F.size("drops"), F.lit(0)))
-    return out.withColumn("keep", keep_bitmap(F.coalesce("drops", F.array().cast("array<int>")), F.col("n_lines"))).withColumn("kept_text", text).drop("drops")
+    """docs with n_lines, n_dropped, keep and kept_text; columns of these names are replaced, all others pass.
+
+    A row without a bitmap keeps all its lines. Rows that repeat an id and text get the same answer, each for itself.
+    """
+    rows = docs.drop("n_lines", "n_dropped", "keep", "kept_text")
+    marks = bitmaps.select(F.col("id").alias("__op5_id"), F.col("fp").alias("__op5_fp"), F.col("keep").alias("__op5_keep"))
+    own = "`" + id_col.replace("`", "``") + "`"
+    both = rows.join(marks, F.col(own).eqNullSafe(F.col("__op5_id")) & (F.hash(text_col) == F.col("__op5_fp")), "left")
+    lines, runs = _lines(F.col(text_col)), F.col("__op5_keep")
+    kept = F.flatten(F.transform(runs, lambda r: F.slice(lines, r["start"] + 1, r["len"])))
+    text = F.when(runs.isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(kept, "\n"))
+    left = F.aggregate(runs, F.lit(0), lambda n, r: n + r["len"])
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.size(lines).alias("len")))
+    made = {"n_lines": F.size(lines), "n_dropped": F.coalesce(F.size(lines) - left, F.lit(0)), "keep": F.coalesce(runs, whole), "kept_text": text}
+    return both.withColumns(made).drop("__op5_id", "__op5_fp", "__op5_keep")
 
 
 def oracle_sql(min_docs: int = MIN_DOCS) -> str:
