@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Shares of the mixed corpus. Sources that are not named share the rest in their own proportions.
 MIX_WEIGHTS = {"src0": 0.20, "src1": 0.10, "src2": 0.10, "src3": 0.05}
@@ -13,20 +14,38 @@ MIX_SEED = "mix-1"
 _TWO52 = float(1 << 52)
 
 
-def poisson_cdf(rate: float) -> list[float]:
-    """P(X <= 0), P(X <= 1), ... as far as a 52-bit uniform number can tell them from 1."""
+#: Rates above this are refused: a document that often is no mixture, and its distribution no plan.
+MOST = 1e7
+
+
+def poisson_part(rate: float) -> tuple[int, list[float]]:
+    """(k, P(X <= k), P(X <= k + 1), ...), from 12 deviations below the mean as far as 52-bit uniform numbers tell them from 1.
+
+    What lies before k has a probability below 1e-30; so the list grows with the root of the rate.
+    """
+    if rate > MOST:
+        raise ValueError(f"a rate of {rate} repeats a document; at most {MOST}")
+    wide = 12 * math.sqrt(rate) + 40
+    low = max(0, math.floor(rate - wide))
     out, total = [], 0.0
-    for k in range(int(rate + 12 * math.sqrt(rate) + 40)):
+    for k in range(low, int(rate + wide)):
         total += math.exp(-rate + k * math.log(rate) - math.lgamma(k + 1)) if rate > 0 else float(k == 0)
         out.append(total)
         if total >= 1 - 2.0**-53:
             break
-    return out
+    return low, out
 
 
-def uniform(id_col: Column, seed: str) -> Column:
-    """A number in (0, 1) that depends on the seed and the id only."""
-    text = F.concat(F.lit(f"{seed}|"), F.coalesce(id_col.cast("string"), F.lit("null")))
+def poisson_cdf(rate: float) -> list[float]:
+    """P(X <= 0), P(X <= 1), ... as far as a 52-bit uniform number can tell them from 1."""
+    low, part = poisson_part(rate)
+    return [0.0] * low + part
+
+
+def uniform(id_col: Column, seed: str, other: Column | None = None) -> Column:
+    """A number in (0, 1) that depends on the seed and the id only; for a null id, on other instead."""
+    none = F.lit("null") if other is None else F.concat(F.lit("null "), other.cast("string"))
+    text = F.concat(F.lit(f"{seed}|"), F.coalesce(id_col.cast("string"), none))
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / _TWO52
 
 
@@ -50,36 +69,41 @@ def mix_sources(
     The driver gets one count per named source and one for the rest, whatever the number of sources. No row is joined
     or grouped by source afterwards, so a hot source is not in one task's hands.
 
-    Nulls: a null source belongs to the unnamed rest; a null id draws as the text 'null'; null or empty texts are
-    ordinary rows. Repeated rows draw alike, each for itself. A named source without rows is left out, its share going
-    to nobody. An empty table gives an empty result. A column named as copy_col is replaced; other columns pass.
+    Nulls: a null source belongs to the unnamed rest; a row with a null id draws by a hash of all its columns (but MAPs);
+    null or empty texts are ordinary rows. Repeated rows draw alike, each for itself. A named source without rows is left
+    out, its share going to nobody. An empty table gives an empty result. A column named as copy_col is replaced; other
+    columns pass, whatever their names.
     """
     if min([0.0, *weights.values()]) < 0 or sum(weights.values()) > 1 + 1e-9:
         raise ValueError("weights must be non-negative and sum to at most 1")
     named = F.when(F.col(source_col).isin(*weights), F.col(source_col)) if weights else F.lit(None).cast("string")
     counts = {r[0]: r[1] for r in docs.groupBy(named.alias("s")).agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values()) * repeat
-    cdf = lambda s, share: F.array(*map(F.lit, poisson_cdf(total * share / counts[s])))
-    rest = cdf(None, max(0.0, 1 - sum(weights.values()))) if counts.get(None) else F.array(F.lit(1.0))
+    def cdf(s: str | None, share: float) -> Column:
+        low, values = poisson_part(total * share / counts[s])
+        return F.struct(F.lit(low).alias("low"), F.array(*map(F.lit, values)).alias("up"))
+
+    rest = cdf(None, max(0.0, 1 - sum(weights.values()))) if counts.get(None) else F.struct(F.lit(0).alias("low"), F.array(F.lit(1.0)).alias("up"))
     table = F
     for s, w in weights.items():
         if counts.get(s):
             table = table.when(F.col(source_col) == s, cdf(s, w))
     table = rest if table is F else table.otherwise(rest)
-    draw = uniform(F.col(id_col), seed)
-    key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(copy_col))
-    times = F.size(F.filter(F.col("__cdf"), lambda c: F.col("__u") >= c))
+    docs = docs.drop(copy_col)
+    row = F.xxhash64(*[F.col("`" + f.name.replace("`", "``") + "`") for f in docs.schema.fields if not isinstance(f.dataType, T.MapType)])
+    draw = uniform(F.col(id_col), seed, row)
+    key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(copy_col), F.when(F.col(id_col).isNull(), F.col("__op6_u")))
+    times = F.col("__op6_cdf.low") + F.size(F.filter(F.col("__op6_cdf.up"), lambda c: F.col("__op6_u") >= c))
     return (
-        docs.drop(copy_col)
-        .withColumns({"__u": draw, "__cdf": table})
-        .withColumn("__n", times)
-        .where("__n > 0")
-        .withColumn(copy_col, F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
-        .drop("__u", "__cdf", "__n")
-        .withColumn("__key", key)
-        .repartition("__key")
-        .sortWithinPartitions("__key", id_col, copy_col)
-        .drop("__key")
+        docs.withColumns({"__op6_u": draw, "__op6_cdf": table})
+        .withColumn("__op6_n", times)
+        .where("__op6_n > 0")
+        .withColumn(copy_col, F.explode(F.sequence(F.lit(0), F.col("__op6_n") - 1)))
+        .withColumn("__op6_key", key)
+        .drop("__op6_u", "__op6_cdf", "__op6_n")
+        .repartition("__op6_key")
+        .sortWithinPartitions("__op6_key", id_col, copy_col)
+        .drop("__op6_key")
     )
 
 
