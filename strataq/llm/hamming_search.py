@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,8 +32,16 @@ def _distance(a: str, b: str, parts: int) -> Column:
     return total
 
 
-def masks(width: int, radius: int) -> list[int]:
-    return [sum(1 << i for i in c) for c in combinations(range(width), radius)]
+def flips(rows: DataFrame, width: int, radius: int) -> DataFrame:
+    """rows with m, once for each number of width bits of which radius are 1: a bit at a time, each above the last.
+
+    The plan grows with the radius, not with the count of numbers.
+    """
+    rows = rows.withColumns({"m": F.lit(0), "__bit": F.lit(-1)})
+    for left in range(radius, 0, -1):
+        rows = rows.withColumn("__bit", F.explode(F.when(F.col("__bit") < width - left, F.sequence(F.col("__bit") + 1, F.lit(width - left)))))
+        rows = rows.withColumn("m", F.col("m").bitwiseOR(F.call_function("shiftleft", F.lit(1), F.col("__bit"))))
+    return rows.drop("__bit")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -48,9 +55,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, *, id_col: str
     Equal codes are one entry of the index with their k smallest ids, which is all that a top k can show, so a vector
     that a third of the rows share is one candidate. Shells beyond round 0 pass by a query's kth distance so far.
 
-    Rows with a null id or vector are neither queries nor answers. An empty vector has all bits 0, and vectors of
-    unequal lengths are compared as if filled up with 0. Repeated rows (an id twice) count once. Fewer than k rows
-    give fewer answers; empty tables none. Only the two named columns are read.
+    Rows with a null id or vector are neither queries nor answers. An empty vector has all bits 0, a null value gives
+    0, and NaN, which is above every number here, 1. Vectors of unequal lengths are compared as if filled up with 0.
+    Repeated rows (an id twice) count once. Fewer than k rows give fewer answers; empty tables none. Only the two named
+    columns are read.
     """
     spark = vectors.sparkSession
     made: list[str] = []
@@ -76,8 +84,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, *, id_col: str
     for r in range(width + 1):
         probes = active.select("q", "asked", "limit", F.posexplode("asked").alias("part", "at"))
         if r:
-            probes = probes.withColumn("m", F.explode(F.array(*map(F.lit, masks(width, r)))))
-            probes = probes.withColumn("value", F.col("at").bitwiseXOR(F.col("m"))).drop("m")
+            probes = flips(probes, width, r).withColumn("value", F.col("at").bitwiseXOR(F.col("m"))).drop("m")
         else:
             probes = probes.withColumnRenamed("at", "value")
         met = probes.join(index, ["part", "value"]).withColumn("d", _distance("asked", "code", parts).cast("int"))
