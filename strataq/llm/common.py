@@ -6,12 +6,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataq.shipping import ship
+
+__all__ = ["BROADCAST_ROWS", "UPPER", "ascii_lower", "drop_tables", "durable", "md5_bits", "shared_dir", "ship", "small", "table"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A side of a join is broadcast only if it was counted and has at most so many rows of at most some hundred bytes.
 BROADCAST_ROWS = 200_000
@@ -69,21 +71,6 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once a session; their Python workers may not have it installed."""
-    sc = spark.sparkContext
-    if getattr(sc, "_strataq_shipped", False):
-        return
-    root = Path(__file__).resolve().parent.parent
-    folder = Path(tempfile.mkdtemp(prefix="strataq-code-"))
-    atexit.register(shutil.rmtree, str(folder), ignore_errors=True)
-    with zipfile.ZipFile(folder / "strataq.zip", "w") as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f"strataq/{f.relative_to(root)}")
-    sc.addPyFile(str(folder / "strataq.zip"))
-    sc._strataq_shipped = True
-
-
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased and nothing else. Text without other letters takes the fast built-in."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))

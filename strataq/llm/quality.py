@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strataq.llm.common import drop_tables, durable, ship
 from strataq.llm.tokens import TABLE, chunks, mix, run_hashes
@@ -116,7 +117,8 @@ def fit_counts(counted: list[tuple[np.ndarray, np.ndarray]], labels: list[int],
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
+    """Whether a document's label may not be learned; false for a null id, which has no label."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def _sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, most: int, made: list[str]) -> DataFrame:
@@ -163,7 +165,9 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
-    given = docs.select(*names, F.col(text_col).alias("__text"))
+    # under plain names: mapInArrow knows no others
+    given = docs.select(*[F.col("`" + c.replace("`", "``") + "`").alias(f"c{k}") for k, c in enumerate(names)], F.col(text_col).alias("text"))
+    plain = [*given.columns[:-1], "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -171,7 +175,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
             x = np.zeros(len(b))
             for i, j, data, offsets in chunks(b.column(len(names))):
                 x[i:j] = m.logits(data, offsets)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(x, -40, 40))))], names=[*names, score_col])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(x, -40, 40))))], names=plain)
 
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in given.schema.fields[:-1]) + f"`{score_col}` double"
-    return given.mapInArrow(run, schema)
+    schema = T.StructType([*given.schema.fields[:-1], T.StructField("score", T.DoubleType())])
+    return given.mapInArrow(run, schema).toDF(*names, score_col)
