@@ -117,10 +117,9 @@ def covered(spans: Column) -> Column:
 def clean_documents(docs: DataFrame, items: DataFrame, *, most: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those of whose words more than the share most lies in benchmark windows; all columns and rows else."""
     found = find_contamination(docs, items, id_col=id_col, text_col=text_col)
-    bad = found.where(covered(F.col("spans")) > most * F.col("n_words")).select(F.col("id").alias("__id"), F.col("fp").alias("__fp"))
-    rows = docs.withColumn("__own", F.xxhash64(text_col))
-    bad = durable(bad)
-    return rows.join(bad, rows[id_col].eqNullSafe(bad["__id"]) & (rows["__own"] == bad["__fp"]), "left_anti").drop("__own")
+    bad = found.where(covered(F.col("spans")) > most * F.col("n_words")).select(F.col("id").alias("__op1_id"), F.col("fp").alias("__op1_fp"))
+    own = F.col(f"`{id_col}`").eqNullSafe(F.col("__op1_id")) & (F.xxhash64(text_col) == F.col("__op1_fp"))
+    return docs.join(durable(bad), own, "left_anti")
 
 
 def oracle_sql(window: int = WINDOW) -> str:
