@@ -26,8 +26,8 @@ MISS = 8e-6
 _NULL_ID = -(1 << 63)
 
 _rng = np.random.default_rng(11)
-_A = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
+_A = (_rng.integers(0, 1 << 31, HASHES) * 2 + 1).astype(np.uint32)
+_B = _rng.integers(0, 1 << 32, HASHES).astype(np.uint32)
 
 
 @dataclass(frozen=True)
@@ -87,8 +87,12 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             full = np.flatnonzero(np.diff(first))
             if not len(full):
                 continue
+            high = (g >> np.uint64(32)).astype(np.uint32)
+            hashed = np.empty_like(high)
             for k in range(HASHES):
-                sig[i + full, k] = np.minimum.reduceat(((g * _A[k] + _B[k]) >> np.uint64(32)).astype(np.uint32), first[full])
+                np.multiply(high, _A[k], out=hashed)
+                hashed += _B[k]
+                sig[i + full, k] = np.minimum.reduceat(hashed, first[full])
             for d in full:
                 own = np.unique(g[first[d] : first[d + 1]])
                 n[i + d], h1[i + d], h2[i + d] = len(own), own.sum(), mix(own ^ np.uint64(0x5DEECE66D)).sum()

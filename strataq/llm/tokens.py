@@ -8,7 +8,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Rows are taken in chunks of about so many bytes of text; one longer text is a chunk of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
+#: Bytes of a chunk that are gone through at a time.
+PIECE = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -57,29 +59,48 @@ def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix((total[ends] - total[starts]) * down[starts])
 
 
+def _pieces(data: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Spans of some PIECE bytes that end at a blank; a longer word is within one."""
+    at, n = 0, len(data)
+    while at < n:
+        end = min(at + PIECE, n)
+        while end < n:
+            cut = np.flatnonzero(BLANK[data[max(at, end - PIECE) : end]])
+            if len(cut):
+                end = max(at, end - PIECE) + int(cut[-1]) + 1
+                break
+            end = min(end + PIECE, n)
+        yield at, end
+        at = end
+
+
 class Words:
-    """Words of some texts: hashes, byte spans within data, and first[i]:first[i + 1], the words of text i."""
+    """Words of some texts: hashes, byte spans within data, and first[i]:first[i + 1], the words of text i.
+
+    What is as long as the bytes is made for a piece at a time, so a very long text costs memory by its words alone.
+    """
 
     __slots__ = ("data", "ends", "first", "hashes", "starts")
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool):
         self.data = data
-        inside = ~BLANK[data]
-        n = len(data)
-        first = np.zeros(n + 1, bool)
-        last = np.zeros(n + 1, bool)
-        first[1:n] = inside[1:] & ~inside[:-1]
-        last[1:n] = inside[:-1] & ~inside[1:]
-        edge = offsets[:-1][offsets[:-1] < n]
-        first[edge] = inside[edge]
-        edge = offsets[1:][offsets[1:] > 0]
-        last[edge] |= inside[edge - 1]
-        if n:
-            first[0], last[n] = inside[0], inside[n - 1]
-        self.starts = np.flatnonzero(first[:n])
-        self.ends = np.flatnonzero(last)
+        table = FOLDED if fold else TABLE
+        starts, ends, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for at, end in _pieces(data):
+            part = data[at:end]
+            inside = np.zeros(end - at + 2, bool)
+            inside[1:-1] = ~BLANK[part]
+            first, last = inside[1:] & ~inside[:-1], inside[:-1] & ~inside[1:]
+            # texts follow one another without a blank
+            cut = offsets[np.searchsorted(offsets, at, "right") : np.searchsorted(offsets, end, "left")] - at
+            cut = cut[inside[cut] & inside[cut + 1]]
+            first[cut] = last[cut] = True
+            s, e = np.flatnonzero(first), np.flatnonzero(last)
+            starts.append(s + at)
+            ends.append(e + at)
+            hashes.append(run_hashes(table[part], s, e))
+        self.starts, self.ends, self.hashes = (np.concatenate(x) for x in (starts, ends, hashes))
         self.first = np.searchsorted(self.starts, offsets)
-        self.hashes = run_hashes((FOLDED if fold else TABLE)[data], self.starts, self.ends)
 
     def text(self, i: int, j: int) -> bytes:
         return self.data[self.starts[i] : self.ends[j - 1]].tobytes()
