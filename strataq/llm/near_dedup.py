@@ -23,6 +23,8 @@ THRESHOLD = 0.85
 HASHES, DEPTH, LEAST = 128, 8, 4
 #: The forest and the count of agreeing minhashes may each miss a pair at the threshold with at most this probability.
 MISS = 8e-6
+#: Bits of a set's parity map, in longs of 64.
+PARITY = 1024
 _NULL_ID = -(1 << 63)
 
 _rng = np.random.default_rng(11)
@@ -102,14 +104,22 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) to (id, shingles): the set, as sorted hashes."""
+    """(id, text) to (id, shingles, bits): the set, as sorted hashes, and its parity map.
+
+    Each shingle flips one bit of the map. Two maps differ in no more bits than their sets differ in shingles, so maps
+    that differ in too many rule a link out for sure.
+    """
     for b in batches:
         for i, j, w in words(b.column(1), fold=True):
             g, first = grams(w, SHINGLE)
-            rows = [np.unique(g[first[d] : first[d + 1]]).view(np.int64) for d in range(j - i)]
+            rows = [np.unique(g[first[d] : first[d + 1]]) for d in range(j - i)]
             ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-            flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "shingles"])
+            flat = np.concatenate(rows).view(np.int64) if rows else np.zeros(0, np.int64)
+            odd = [np.packbits((np.bincount((r >> np.uint64(20)).astype(np.int64) % PARITY, minlength=PARITY) & 1).astype(np.uint8)) for r in rows]
+            bits = np.concatenate(odd).view(np.int64) if odd else np.zeros(0, np.int64)
+            at = np.arange(len(rows) + 1, dtype=np.int32) * (PARITY // 64)
+            lists = [pa.ListArray.from_arrays(pa.array(e), pa.array(v)) for e, v in ((ends, flat), (at, bits))]
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *lists], names=["id", "shingles", "bits"])
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,10 +172,12 @@ def _crossing(nodes: DataFrame, sets: DataFrame, at: Limits) -> DataFrame:
     """All pairs (a, b) of nodes (node, root) of different roots whose sets could be similar enough.
 
     A prefix-filtered join: shingles are ordered by how many of the nodes have them; of two similar sets, the first
-    common shingle is among the first few of both, and as much of either must follow it as the overlap still needs.
+    common shingle is among the first few of both, and as much of either must follow it as the overlap still needs; and
+    the parity maps must not differ in more bits than the sets may in shingles. All of that is the join's condition, so
+    the rows that leave it are few but links, whatever the size of a group of near copies.
     """
-    nodes = durable(nodes)
-    own = sets.join(nodes, "node")
+    nodes = durable(nodes.join(sets.select("node", "bits"), "node"))
+    own = sets.select("node", "shingles").join(nodes.select("node"), "node")
     tokens = durable(own.select("node", F.explode("shingles").alias("h")))
     often = durable(tokens.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"))
     ranked = tokens.join(often, "h", "left").groupBy("node").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "h"))).alias("all"))
@@ -178,11 +190,15 @@ def _crossing(nodes: DataFrame, sets: DataFrame, at: Limits) -> DataFrame:
     mixed = durable(per.where("roots > 1").select("h", F.col("top.root").alias("top")))
     heads = durable(heads.join(mixed, "h"))
     short = F.col("pos") <= F.col("n") - up(F.col("n") * 2 * at.num, at.num + at.den)
-    side = lambda df, e: df.select("h", *[F.col(c).alias(f"{c}_{e}") for c in ("node", "root", "n", "pos")])
+    side = lambda df, e: df.select("h", *[F.col(c).alias(f"{c}_{e}") for c in ("node", "root", "n", "pos", "bits")])
     larger = F.col("n_y") < F.col("n_x")
     later = larger | ((F.col("n_y") == F.col("n_x")) & (F.col("node_y") < F.col("node_x")))
     need = up((F.col("n_x") + F.col("n_y")) * at.num, at.num + at.den)
     rest = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) >= need
+    apart = F.lit(0)
+    for i in range(PARITY // 64):
+        apart = apart + F.bit_count(F.get("bits_x", F.lit(i)).bitwiseXOR(F.get("bits_y", F.lit(i))))
+    rest = rest & (apart <= F.col("n_x") + F.col("n_y") - 2 * need)
     fits = (F.col("root_x") != F.col("root_y")) & later & rest & (F.col("n_y") * at.den >= F.col("n_x") * at.num)
     minor, top = F.col("root") != F.col("top"), F.col("root") == F.col("top")
     some = side(heads.where(minor), "x").join(side(heads.where(short), "y"), "h").where(fits)
@@ -204,7 +220,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, *, id_col: st
     neighbours in each order, which have the longest common prefixes, so the depth adapts to how dense a region is.
     Those that 128 minhashes don't rule out are compared on the full sets, and components are taken. Second, the nodes
     of regions that still hold several components are the candidates for links between components: an exact prefix
-    filter leaves few pairs of them, and each goes to the full sets, whatever its minhashes say. So a link is missed only
+    filter and parity maps leave few pairs of them, and each goes to the full sets, whatever its minhashes say. So a link is missed only
     if its ends share no region of any order; nothing is capped. A dense group of copies is one component by then and
     gives no pairs. Orders are range-partitioned by label and node, which splits hot regions.
 
@@ -229,7 +245,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, *, id_col: st
     some = places.select(F.col("node").alias("id")).distinct()
     some = durable(some, made)
     texts = given.join(F.broadcast(some) if some.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else some, "id", "left_semi")
-    sets = durable(texts.mapInArrow(_sets, "id long, shingles array<long>").withColumnRenamed("id", "node"), made)
+    sets = durable(texts.mapInArrow(_sets, "id long, shingles array<long>, bits array<long>").withColumnRenamed("id", "node"), made)
     sigs = nodes.select("node", "n", "sig")
 
     ordered = places.repartitionByRange("region", "label", "node").sortWithinPartitions("region", "label", "node")
@@ -264,6 +280,6 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, *, id_col: st
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each component left: the one of least id. Rows that repeat its id stay."""
-    gone = near_duplicates(docs, threshold, id_col=id_col, text_col=text_col).where(~F.col("kept")).select(F.col("id").alias("__id")).distinct()
+    gone = near_duplicates(docs, threshold, id_col=id_col, text_col=text_col).where(~F.col("kept")).select(F.col("id").alias("__op3_id")).distinct()
     gone = durable(gone)
-    return docs.join(small(gone), docs[id_col].eqNullSafe(F.col("__id")), "left_anti")
+    return docs.join(small(gone), F.col(f"`{id_col}`").eqNullSafe(F.col("__op3_id")), "left_anti")
