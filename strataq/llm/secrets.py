@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,10 +28,21 @@ SIGMAS = 3.29
 STAY = 0.9
 #: Logarithms of evidence are counted in bins of so much, up to so many bins.
 BIN, BINS = 0.25, 400
+#: Matches are placed in blocks of so many.
+BLOCK = 256
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _located(text: Column, pattern: str, group: int = 0) -> Column:
-    """Structs (start, end, value) of the leftmost non-overlapping matches; value is the group. Code points, end exclusive."""
+    """Structs (start, end, value) of the leftmost non-overlapping matches; value is the group. Code points, end exclusive.
+
+    Places are sums of what lies before, taken within blocks of matches and then over the blocks, so that no array
+    grows match by match to the length of all.
+    """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole))
@@ -43,7 +55,21 @@ def _located(text: Column, pattern: str, group: int = 0) -> Column:
         one = F.struct(start.alias("start"), end.alias("end"), s["value"].alias("value"))
         return F.struct(end.alias("at"), F.concat(a["out"], F.array(one)).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(sizes, zero, add, lambda a: a["out"])).otherwise(F.array().cast(kind))
+    def place(blocks: Column) -> Column:
+        before = F.aggregate(
+            blocks,
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+            lambda a, s: F.struct((a["at"] + s["at"]).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")),
+            lambda a: a["out"],
+        )
+        move = lambda s, by: F.transform(s["out"], lambda m: F.struct((m["start"] + by).alias("start"), (m["end"] + by).alias("end"), m["value"].alias("value")))
+        return F.flatten(F.zip_with(blocks, before, move))
+
+    def cut(all_: Column) -> Column:
+        last = F.floor((F.size(all_) - 1) / BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.aggregate(F.slice(all_, k * BLOCK + 1, F.lit(BLOCK)), zero, add))
+
+    return F.when(text.rlike(pattern), _let(_let(sizes, cut), place)).otherwise(F.array().cast(kind))
 
 
 def _encoding(t: Column) -> Column:
@@ -59,34 +85,54 @@ def battery(token: Column) -> Column:
     encoding: chi-squared of the counts, Wald-Wolfowitz runs above and below the mean, correlation with the next one.
     evidence: the logarithm of how much likelier the token is drawn so than written as text, where characters keep to
     the class (lower, upper, digit, mark) of the one before. Under the latter its exponential has a mean of 1 at most.
+    Each part is one pass over the characters, so the time is linear in the token.
     """
     t = token
-    chars = F.transform(F.sequence(F.lit(1), F.char_length(t)), lambda i: F.substring(t, i, F.lit(1)))
-    codes = F.transform(chars, lambda c: F.ascii(c).cast("double"))
-    base = F.struct(F.char_length(t).cast("double").alias("n"), _encoding(t).cast("double").alias("a"), chars.alias("c"), codes.alias("v"), F.size(F.regexp_extract_all(t, F.lit(CLASSES), F.lit(0))).alias("runs"))
-
-    def test(b: Column) -> Column:
-        total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
-        squares = total(F.transform(F.array_distinct(b["c"]), lambda x: F.pow(F.size(F.filter(b["c"], lambda y: y == x)).cast("double"), F.lit(2.0))))
-        chi = (b["a"] / b["n"] * squares - b["n"] - (b["a"] - 1)) / F.sqrt(2 * (b["a"] - 1))
-        mean = total(b["v"]) / b["n"]
-        off = F.transform(b["v"], lambda x: x - mean)
-        pairs = F.zip_with(F.slice(off, F.lit(1), F.size(off) - 1), F.slice(off, F.lit(2), F.size(off) - 1), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-        var = total(F.transform(off, lambda x: x * x))
-        serial = total(F.transform(pairs, lambda p: p["x"] * p["y"])) / F.greatest(var, F.lit(1e-9)) * F.sqrt(b["n"])
-        up = F.size(F.filter(off, lambda x: x > 0)).cast("double")
-        down = b["n"] - up
-        turns = F.size(F.filter(pairs, lambda p: (p["x"] > 0) != (p["y"] > 0))) + 1
-        expect = 2 * up * down / b["n"] + 1
+    chars = F.filter(F.split(t, ""), lambda c: c != "")
+    times = F.transform(F.array_distinct(chars), lambda c: (F.char_length(t) - F.char_length(F.replace(t, c, F.lit("")))).cast("double"))
+    base = F.struct(
+        F.char_length(t).cast("double").alias("n"),
+        _encoding(t).cast("double").alias("a"),
+        F.transform(chars, lambda c: F.ascii(c).cast("double")).alias("v"),
+        F.aggregate(times, F.lit(0.0), lambda s, x: s + x * x).alias("squares"),
+        F.size(F.regexp_extract_all(t, F.lit(CLASSES), F.lit(0))).alias("runs"),
+    )
+
+    def sums(b: Column) -> Column:
+        """Of the values, their squares and the products of neighbours, in one pass; no character has the code -1."""
+        zero = F.struct(F.lit(-1.0).alias("last"), *[F.lit(0.0).alias(k) for k in ("one", "two", "near")])
+        step = lambda s, x: F.struct(x.alias("last"), (s["one"] + x).alias("one"), (s["two"] + x * x).alias("two"), (s["near"] + F.when(s["last"] >= 0, s["last"] * x).otherwise(0.0)).alias("near"))
+        return F.struct(b.alias("b"), F.aggregate(b["v"], zero, step).alias("s"))
+
+    def turns(p: Column) -> Column:
+        """Of the values, how many are above the mean, and how often neighbours lie on different sides of it."""
+        mean = p["s"]["one"] / p["b"]["n"]
+        zero = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("up"), F.lit(0.0).alias("turns"), mean.alias("mean"))
+
+        def step(s: Column, x: Column) -> Column:
+            side = F.when(x > s["mean"], 1).otherwise(0)
+            turned = F.when((s["last"] >= 0) & (s["last"] != side), 1.0).otherwise(0.0)
+            return F.struct(side.alias("last"), (s["up"] + side).alias("up"), (s["turns"] + turned).alias("turns"), s["mean"].alias("mean"))
+
+        return F.struct(p["b"].alias("b"), p["s"].alias("s"), F.aggregate(p["b"]["v"], zero, step).alias("t"))
+
+    def test(p: Column) -> Column:
+        b, s, mean = p["b"], p["s"], p["t"]["mean"]
+        chi = (b["a"] / b["n"] * b["squares"] - b["n"] - (b["a"] - 1)) / F.sqrt(2 * (b["a"] - 1))
+        var = s["two"] - b["n"] * mean * mean
+        near = s["near"] - mean * (2 * s["one"] - F.get(b["v"], F.lit(0)) - F.element_at(b["v"], -1)) + (b["n"] - 1) * mean * mean
+        serial = near / F.greatest(var, F.lit(1e-9)) * F.sqrt(b["n"])
+        up = p["t"]["up"]
+        expect = 2 * up * (b["n"] - up) / b["n"] + 1
         spread = F.sqrt(F.greatest((expect - 1) * (expect - 2) / F.greatest(b["n"] - 1, F.lit(1.0)), F.lit(1e-9)))
-        good = (chi <= SIGMAS) & (F.abs(serial) <= SIGMAS) & (F.abs((turns - expect) / spread) <= SIGMAS)
+        good = (chi <= SIGMAS) & (F.abs(serial) <= SIGMAS) & (F.abs((p["t"]["turns"] + 1 - expect) / spread) <= SIGMAS)
         # text: keep the class, or change to one of the three others, each time with an even choice of at most 26 there
         keep = -F.log(b["a"]) - F.lit(math.log(STAY / 26))
         change = -F.log(b["a"]) - F.lit(math.log((1 - STAY) / 3 / 6))
         evidence = (b["n"] - b["runs"]) * keep + (b["runs"] - 1) * change
         return F.struct(b["n"].cast("int").alias("n"), good.alias("passed"), evidence.alias("evidence"))
 
-    return F.get(F.transform(F.array(base), test), F.lit(0))
+    return _let(_let(_let(base, sums), turns), test)
 
 
 def _class(n: Column) -> Column:
