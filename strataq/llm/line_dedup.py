@@ -36,21 +36,24 @@ def line_keep_bitmaps(
     made: list[str] = []
     mine = [F.col(id_col).alias("id"), F.hash(text_col).alias("fp")]
     lines = _lines(F.col(text_col))
-    raw = docs.select(*mine, F.size(lines).alias("n_lines"), F.posexplode(lines).alias("pos", "line"))
+    raw = docs.select(*mine, F.posexplode(lines).alias("pos", "line"))
     key = ascii_lower(F.trim(F.col("line"), F.lit(BLANKS)))
-    keyed = raw.select("id", "fp", "n_lines", "pos", key.alias("key")).where(F.char_length("key") >= max(min_key, 1))
-    occ = durable(keyed.select(F.xxhash64("key").alias("h1"), F.hash("key").alias("h2"), "id", "fp", "n_lines", "pos"), made)
+    keyed = raw.select("id", "fp", "pos", key.alias("key")).where(F.char_length("key") >= max(min_key, 1))
+    occ = durable(keyed.select(F.xxhash64("key").alias("h1"), F.hash("key").alias("h2"), "id", "fp", "pos"), made)
     by = ["h1", "h2", "id", "fp"]
     ordered = occ.repartitionByRange(*by).sortWithinPartitions(*by, "pos")
-    per = durable(ordered.groupBy(*by).agg(F.collect_set("pos").alias("pos"), F.max("n_lines").alias("n_lines")))
+    per = durable(ordered.groupBy(*by).agg(F.collect_set("pos").alias("pos")))
     drop_tables(docs.sparkSession, made)
     hot = per.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("id", "fp")).alias("first")).where(F.col("n") >= min_docs)
     hit = per.join(small(durable(hot)), ["h1", "h2"])
     if keep_first:
         here = F.struct("id", "fp").eqNullSafe(F.col("first"))
         hit = hit.withColumn("pos", F.when(here, F.array_remove("pos", F.array_min("pos"))).otherwise(F.col("pos")))
-    drops = hit.groupBy("id", "fp").agg(F.max("n_lines").alias("n_lines"), F.array_sort(F.flatten(F.collect_list("pos"))).alias("drops"))
-    return drops.where(F.size("drops") > 0).select("id", "fp", "n_lines", keep_bitmap(F.col("drops"), F.col("n_lines")).alias("keep"))
+    drops = hit.groupBy("id", "fp").agg(F.array_sort(F.flatten(F.collect_list("pos"))).alias("drops")).where(F.size("drops") > 0)
+    # counted apart: beside the explosion, a text would be split again for each of its lines
+    sizes = docs.select(F.col(id_col).alias("i"), F.hash(text_col).alias("f"), F.size(lines).alias("n")).groupBy("i", "f").agg(F.max("n").alias("n_lines"))
+    both = drops.join(sizes, F.col("id").eqNullSafe(F.col("i")) & (F.col("fp") == F.col("f")))
+    return both.select("id", "fp", "n_lines", keep_bitmap(F.col("drops"), F.col("n_lines")).alias("keep"))
 
 
 def keep_bitmap(drops: Column, n_lines: Column) -> Column:
