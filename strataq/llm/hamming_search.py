@@ -13,15 +13,25 @@ TOP_K = 10
 QUERY_EVERY = 50
 
 
-def sign_segments(vector: Column, bits: int, width: int) -> Column:
-    """The signs of a vector (1: above 0) as numbers of width bits each; what is missing or null is 0."""
-    parts = []
-    for at in range(0, bits, width):
-        ones = [F.when(F.get(vector, i) > 0, F.lit(1 << (i - at))).otherwise(0) for i in range(at, min(at + width, bits))]
+def segment_widths(bits: int, rows: int) -> list[int]:
+    """Bits of each segment: as even as can be, wider first, and of log2(rows) - 4 bits at most, rounded up.
+
+    What is left over makes no narrow segment of its own: a value of 4 bits has a sixteenth of all codes.
+    """
+    parts = math.ceil(bits / min(24, max(4, math.log2(max(rows, 2)) - 4)))
+    return [bits // parts + (i < bits % parts) for i in range(parts)]
+
+
+def sign_segments(vector: Column, widths: list[int]) -> Column:
+    """The signs of a vector (1: above 0) as numbers of so many bits each; what is missing or null is 0."""
+    parts, at = [], 0
+    for width in widths:
+        ones = [F.when(F.get(vector, at + i) > 0, F.lit(1 << i)).otherwise(0) for i in range(width)]
         total = ones[0]
         for x in ones[1:]:
             total = total + x
         parts.append(total.cast("int"))
+        at += width
     return F.array(*parts)
 
 
@@ -32,7 +42,7 @@ def _distance(a: str, b: str, parts: int) -> Column:
     return total
 
 
-def flips(rows: DataFrame, width: int, radius: int) -> DataFrame:
+def flips(rows: DataFrame, width: int | Column, radius: int) -> DataFrame:
     """rows with m, once for each number of width bits of which radius are 1: a bit at a time, each above the last.
 
     The plan grows with the radius, not with the count of numbers.
@@ -47,10 +57,13 @@ def flips(rows: DataFrame, width: int, radius: int) -> DataFrame:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, distance): for each row of queries, the k rows of vectors whose sign codes are nearest.
 
-    Ties go to the smaller id, so the answer is unique. Codes are cut into segments of about log2(rows) - 3 bits, each
-    indexed by its value; a value then has some eight codes, and looking at them costs about as much as the lookup. Rounds r = 0, 1, ... look up, in each segment, the values at r bits from the query's; each
-    candidate's whole distance is then taken. After round r every code within segments * (r + 1) - 1 bits has been
-    met, as one of its segments is within r; a query whose kth distance is no more than that is done and leaves.
+    Ties go to the smaller id, so the answer is unique. Codes are cut into even segments of about log2(rows) - 4 bits, each
+    indexed by its value; a value then has 16 codes or some more, as looking at one costs far less than a lookup. Rounds
+    r = 0, 1, ... look up, in each segment, the values at r bits from the query's; each candidate's whole distance is
+    then taken. After round r every code within segments * (r + 1) - 1 bits has been met, as one of its segments is
+    within r; a query whose kth distance is no more than that is done and leaves. A query whose kth distance so far is
+    that of the first j segments of a round (segments * r + j - 1) looks up only those: a code that is in none of
+    them within r, and in none of the others within r - 1, is farther.
 
     Equal codes are one entry of the index with their k smallest ids, which is all that a top k can show, so a vector
     that a third of the rows share is one candidate. Shells beyond round 0 pass by a query's kth distance so far.
@@ -66,9 +79,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, *, id_col: str
     size = pick(vectors).agg(F.max(F.size("v")).alias("bits"), F.count("*").alias("n")).first()
     asked = pick(queries).agg(F.max(F.size("v"))).first()[0] or 0
     bits = max(size["bits"] or 1, asked, 1)
-    width = min(bits, 24, max(4, round(math.log2(max(size["n"], 2))) - 3))
-    parts = -(-bits // width)
-    coded = lambda df: pick(df).select("id", sign_segments(F.col("v"), bits, width).alias("code"))
+    widths = segment_widths(bits, size["n"])
+    parts, wide = len(widths), widths.count(widths[0])
+    width = F.when(F.col("part") < wide, widths[0]).otherwise(widths[-1])
+    coded = lambda df: pick(df).select("id", sign_segments(F.col("v"), widths).alias("code"))
 
     order = Window.partitionBy("code").orderBy("id")
     few = coded(vectors).distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
@@ -81,8 +95,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, *, id_col: str
     none = F.array().cast("array<struct<d:int,id:bigint>>")
     active = durable(coded(queries).distinct().select(F.col("id").alias("q"), F.col("code").alias("asked"), none.alias("best"), F.lit(bits).alias("limit")), made)
     done: list[DataFrame] = []
-    for r in range(width + 1):
-        probes = active.select("q", "asked", "limit", F.posexplode("asked").alias("part", "at"))
+    for r in range(widths[0] + 1):
+        needed = F.slice("asked", 1, F.least(F.lit(parts), F.col("limit") - (parts * r - 1)))
+        probes = active.select("q", "asked", "limit", F.posexplode(needed).alias("part", "at"))
         if r:
             probes = flips(probes, width, r).withColumn("value", F.col("at").bitwiseXOR(F.col("m"))).drop("m")
         else:
