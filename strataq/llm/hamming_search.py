@@ -11,6 +11,8 @@ from strataq.llm.common import BROADCAST_ROWS, drop_tables, durable
 
 TOP_K = 10
 QUERY_EVERY = 50
+#: Rows of one code are cut to their smallest ids in so many deals by id first, so that no task gets all of them.
+DEALS = 16
 
 
 def segment_widths(bits: int, rows: int) -> list[int]:
@@ -54,6 +56,15 @@ def flips(rows: DataFrame, width: int | Column, radius: int) -> DataFrame:
     return rows.drop("__bit")
 
 
+def smallest_ids(coded: DataFrame, k: int) -> DataFrame:
+    """(code, ids): the k smallest ids of each code, of rows (id, code) that may repeat."""
+    rows = coded.distinct().withColumn("deal", F.pmod(F.xxhash64("id"), F.lit(DEALS)))
+    for keys in (["code", "deal"], ["code"]):
+        order = Window.partitionBy(*keys).orderBy("id")
+        rows = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
+    return rows.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, distance): for each row of queries, the k rows of vectors whose sign codes are nearest.
 
@@ -84,9 +95,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, *, id_col: str
     width = F.when(F.col("part") < wide, widths[0]).otherwise(widths[-1])
     coded = lambda df: pick(df).select("id", sign_segments(F.col("v"), widths).alias("code"))
 
-    order = Window.partitionBy("code").orderBy("id")
-    few = coded(vectors).distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
-    codes = durable(few.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")), made)
+    codes = durable(smallest_ids(coded(vectors), k), made)
     index = codes.select("code", "ids", F.posexplode("code").alias("part", "value"))
     # probes are many more than the rows they come from, so they are never the side to broadcast
     few = codes.limit(BROADCAST_ROWS // parts + 1).count() <= BROADCAST_ROWS // parts
